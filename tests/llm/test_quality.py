@@ -60,6 +60,6 @@ def test_awkward_rows(spark, awkward):
     assert Counter((r.doc_id, r.n_words) for r in found) == Counter((r.doc_id, len(WORDS.findall(r.text or ""))) for r in awkward.collect())
     assert [r.kept for r in found if r.doc_id in (1, 2, 3)] == [False] * 3
     kept = quality.judge(awkward, quality.LineField.flat(), keep_columns=True)
-    assert kept.columns == awkward.columns and kept.count() == 1
+    assert kept.columns == awkward.columns and kept.count() == 0  # the long ones repeat themselves
     empty = awkward.limit(0)
     assert quality.judge(empty, quality.train(empty, labels)).count() == 0
