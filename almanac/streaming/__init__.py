@@ -1 +1 @@
-
+"""Structured Streaming: live segments, distinct messages, and watched folders."""
