@@ -95,8 +95,10 @@ def to_markdown(html: str | None) -> str | None:
         text = "".join(writer.out)
     except Exception:  # whatever a page holds, its document must not be lost
         text = re.sub(r"<[^>]*(?:>|$)", "", html).replace(">", "")
-    text = re.sub(r"[ \t]+\n", "\n", text)
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"(?m)^[ \t]+(?=\S)(?![-\d])", "", text)).strip()
+    parts = re.split(r"(```\n.*?\n```)", text, flags=re.S)  # what is preformatted stays as it is
+    parts[::2] = [re.sub(r"(?m)^[ \t]+(?=\S)(?![-\d])", "", re.sub(r"[ \t]+\n", "\n", p)) for p in parts[::2]]
+    parts[::2] = [re.sub(r"\n{3,}", "\n\n", p) for p in parts[::2]]
+    return "".join(parts).strip()
 
 
 @F.pandas_udf(T.StringType())

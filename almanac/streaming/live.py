@@ -46,7 +46,7 @@ def watch_files(spark: SparkSession, folder: str, apply: Callable[[DataFrame, in
 
     The file stream sees no deletions: run an update_diff over the whole folder now and then.
     """
-    stream = spark.readStream.option("pathGlobFilter", pattern).option("maxFilesPerTrigger", max_files).option("wholetext", True).text(folder)
+    stream = spark.readStream.option("pathGlobFilter", pattern).option("maxFilesPerTrigger", max_files).text(folder, wholetext=True)
     named = stream.select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"), F.col("_metadata.file_modification_time").alias("modified"))
     writer = named.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint or f"{shared_folder(spark)}/watch-{abs(hash(folder))}")
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
