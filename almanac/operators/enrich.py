@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 import urllib.request
 from collections.abc import Callable, Iterable, Sequence
@@ -66,7 +67,7 @@ def prefix(text: str, size: int) -> str:
 
 
 def entity_lines(answer: str) -> list[str]:
-    lines = (line.strip().removeprefix("- ").strip() for line in answer.split("\n"))
+    lines = (re.sub(r"^-(?:\s+|$)", "", line.strip()) for line in answer.split("\n"))
     return [x for x in lines if x and len(x.encode()) < 100]
 
 
@@ -87,7 +88,7 @@ def enrich(docs: DataFrame, step: str, model: Backend, key: str = "doc_id", text
 
 def entities_from(answers: DataFrame, key: str = "doc_id") -> DataFrame:
     """Mentions from the answers to extract_entities: lines, without dashes, under 100 bytes."""
-    lines = F.transform(F.split("answer", "\n"), lambda x: F.btrim(F.regexp_replace(F.btrim(x), "^- ", "")))
+    lines = F.transform(F.split("answer", "\n"), lambda x: F.btrim(F.regexp_replace(F.btrim(x), r"^-(?:\s+|$)", "")))
     names = F.filter(lines, lambda x: (x != "") & (F.octet_length(x) < 100))
     named = answers.select(F.col(key).cast("string").alias("document_id"), F.explode(names).alias("mention_text"))
     return named.select(F.concat(F.lit("ner:"), F.replace(F.lower("mention_text"), F.lit(" "), F.lit("_"))).alias("entity_id"), "document_id", "mention_text").dropDuplicates(["entity_id", "document_id"])
