@@ -95,7 +95,8 @@ def traverse(streams: Streams, counts: list[np.ndarray], tokens: int, types: int
 def score_texts(docs: DataFrame, held_out: Column, order: int = 2, mu: float = 1.0) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; rows not held out train."""
     spark = docs.sparkSession
-    shards = owners = 2 * shuffle_partitions(spark)
+    # letters are shards times owners: few owners, as an owner's work is small
+    shards, owners = 2 * shuffle_partitions(spark), max(1, shuffle_partitions(spark) // order)
     rows = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int"))
     sharded = rows.groupBy("shard")
