@@ -50,6 +50,16 @@ def _visited(spark: SparkSession, path: str, form: str) -> DataFrame:
     return rows.select("external_id", F.coalesce(F.when(F.col("title") != "", F.col("title")), "url").alias("title"), said.alias("text"), F.lit("Record").alias("content_type"), F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("depth"), F.lit(2).alias("privacy_level"))
 
 
+#: Named ways to ask: which sources (a pattern of their names), how, and the shape of the answer. Fixed values.
+SKILLS = {
+    "lookup": {"sources": ".*", "mode": "quick", "shape": "answer"},
+    "define": {"sources": "(?i).*(wik|dict|lex).*", "mode": "quick", "shape": "hits"},
+    "fact-check": {"sources": "(?i).*wik.*", "mode": "normal", "shape": "hits"},
+    "research": {"sources": ".*", "mode": "deep", "shape": "by_source"},
+    "personal": {"sources": ".*", "mode": "normal", "shape": "hits", "personal_only": True},
+}
+
+
 @dataclass
 class KnowledgeBase:
     spark: SparkSession
@@ -95,10 +105,15 @@ class KnowledgeBase:
         made = rows.select(F.lit(name).alias("source_name"), F.col("external_id").cast("string").alias("external_id"), title.alias("title"), "text", F.lit("Article").alias("content_type"), F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("depth"), F.lit(privacy).alias("privacy_level"), content_hash(F.coalesce("text", F.lit(""))).alias("content_hash"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("content_size"))
         self._replace(name, made)
 
-    def update_source(self, name: str, path: str, form: str, privacy: int | None = None) -> dict[str, int]:
-        """Replace by document; how many are new, changed, unchanged and deleted."""
+    def update_source(self, name: str, path: str, form: str, privacy: int | None = None, deletions: str = "delete") -> dict[str, int]:
+        """Replace by document; how many are new, changed, unchanged and deleted.
+
+        ``deletions``: "delete" what is gone, or "keep" it.
+        """
         seen = self._load(name, path, form, privacy)
         known = self.content().where(F.col("source_name") == name)
+        if deletions == "keep":
+            seen = seen.unionByName(known.join(seen, "external_id", "left_anti").select(*seen.columns))
         diff = catalog.update_diff(known, seen).groupBy("status").count().collect()
         report = {s: 0 for s in ("new", "changed", "unchanged", "deleted")} | {r["status"]: r["count"] for r in diff}
         if report["new"] or report["changed"] or report["deleted"]:
@@ -145,7 +160,33 @@ class KnowledgeBase:
         first = named.groupBy("source_name", "title").agg(F.max("score").alias("score"), F.min_by("text", "rank").alias("text"))
         if fused is None:
             return fts.ranked(first.select("source_name", "title", "score", snippet(F.col("text")).alias("snippet")), "score", ["source_name", "title"], limit)
-        return fused.join(first.select("source_name", "title", snippet(F.col("text")).alias("snippet")), ["source_name", "title"], "left")
+        return fused.join(first.select("source_name", "title", snippet(F.col("text")).alias("snippet")), ["source_name", "title"], "left").orderBy("rank")
+
+    def ask(self, skill: str, question: str) -> DataFrame:
+        """A search by one of SKILLS: an answer, hits, or hits gathered by source."""
+        how = SKILLS[skill]
+        if how["shape"] == "answer":
+            return self.lookup(question)
+        hits = self.search(question, how["mode"], personal_only=how.get("personal_only", False)).where(F.col("source_name").rlike(how["sources"]))
+        if how["shape"] == "by_source":
+            return hits.groupBy("source_name").agg(F.count("*").alias("n_hits"), F.max("score").alias("best"), F.sort_array(F.collect_list("title")).alias("titles"))
+        return hits
+
+    def embed(self, model: Callable | None = None) -> DataFrame:
+        """chunk_id, source_name, title, vector and privacy_level of every chunk, by a given or the bundled embedder."""
+        from almanac.functions.registry import embed_text
+
+        return self.chunks().select("chunk_id", "source_name", "title", (model or embed_text)("text").alias("vector"), "privacy_level")
+
+    def vector_search(self, question: str, limit: int = 20, source: str | None = None, personal_only: bool = False, public_only: bool = False) -> DataFrame:
+        """source_name, title, score and rank of the nearest chunks' documents, by the bundled embedder."""
+        from almanac.functions.registry import hashed_vector
+
+        asked, chunks = hashed_vector(question), self.embed()
+        if asked is None:
+            return chunks.select("source_name", "title", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).where("1 = 0")
+        hits = retrieval.vector_search(chunks, asked, limit, "chunk_id", "vector", self._visible(source, personal_only, public_only))
+        return hits.join(chunks.select("chunk_id", "source_name", "title"), "chunk_id").select("source_name", "title", "score", "rank").orderBy("rank")
 
     def substring(self, pattern: str, limit: int = 10) -> DataFrame:
         rows = self.content().withColumn("document", F.concat_ws(":", "source_name", "external_id"))

@@ -7,11 +7,13 @@ source_name, confidence; rows may repeat, as different documents may say the sam
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from almanac.functions.geo import EARTH_KM, haversine_km
 from almanac.functions.text import entity_id
 
 
@@ -140,15 +142,40 @@ def degree_centrality(relations: DataFrame) -> DataFrame:
     return ends.crossJoin(F.broadcast(most)).select("id", "degree", F.round(F.col("degree") / F.col("_most"), 9).alias("centrality"))
 
 
-def match_entities(left: DataFrame, right: DataFrame, by: str = "title") -> DataFrame:
-    """left_id, right_id of entities of two sources that are one by id or by normalised title."""
+def match_entities(left: DataFrame, right: DataFrame, by: str = "title", threshold: float = 0.0) -> DataFrame:
+    """left_id, right_id of entities of two sources that are one by ``id``, by normalised ``title``, or by ``place``.
+
+    Places (lat, lon) match within ``threshold`` kilometres: an equi-join on cells of a grid at least that coarse, each
+    left place standing in the cells around its own, then the exact distance.
+    """
     if by == "id":
         return left.select(F.col("id").alias("left_id")).join(right.select(F.col("id").alias("right_id")), F.col("left_id") == F.col("right_id"))
+    if by == "place":
+        return _match_places(left, right, threshold)
     norm = F.regexp_replace(F.lower("canonical_name"), r"[^\p{L}\p{N}]+", "")
     a = left.select(F.col("id").alias("left_id"), norm.alias("_title")).where("_title <> ''")
     return a.join(right.select(F.col("id").alias("right_id"), norm.alias("_title")), "_title").select("left_id", "right_id")
 
 
+def _match_places(left: DataFrame, right: DataFrame, km: float) -> DataFrame:
+    """Cells are bands of latitude by bands of longitude that widen with the band's largest |latitude|; both wrap."""
+    step = max(1e-6, math.degrees(km / EARTH_KM))
+    band = F.floor(F.col("lat") / step)
+    widest = lambda b: F.least(F.lit(90.0), (F.greatest(F.abs(b), F.abs(b + 1)) + 1) * step)  # noqa: E731  of the band and its neighbours
+    # how far apart in longitude two such places can lie at most, in degrees; all around near the poles
+    reach = lambda b: F.degrees(2 * F.asin(F.least(F.lit(1.0), math.sin(math.radians(min(180.0, step)) / 2) / F.cos(F.radians(widest(b))))))
+    columns = lambda b: F.greatest(F.lit(1), F.floor(360 / reach(b)))
+    column = lambda b, lon: F.floor(F.pmod(lon + 180, F.lit(360.0)) / 360 * columns(b))
+    a = left.select(F.col("id").alias("left_id"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).where("_lat is not null and _lon is not null")
+    a = a.withColumn("_band", F.explode(F.sequence(F.floor(F.col("_lat") / step) - 1, F.floor(F.col("_lat") / step) + 1)))
+    around = F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(column(F.col("_band"), F.col("_lon")) + d, columns(F.col("_band")))))
+    a = a.withColumn("_column", F.explode(around))
+    b = right.where("lat is not null and lon is not null").select(F.col("id").alias("right_id"), "lat", "lon", band.alias("_band"))
+    b = b.withColumn("_column", F.pmod(column(F.col("_band"), F.col("lon")), columns(F.col("_band"))))
+    near = a.join(b, ["_band", "_column"]).where(haversine_km(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon")) <= km)
+    return near.select("left_id", "right_id").distinct()
+
+
 def current_facts(facts: DataFrame, key: Sequence[str] = ("subject_id", "predicate")) -> DataFrame:
     """Of bi-temporal facts (valid_from, valid_until), those still valid; a later one supersedes its forerunners."""
     w = Window.partitionBy(*key).orderBy(F.desc("valid_from"), "object_id")
