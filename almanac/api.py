@@ -32,6 +32,7 @@ READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "csv": lambda s, p: _profiled(s, p),
     "tsv": lambda s, p: _profiled(s, p),
     "mediawiki": files.mediawiki_documents,
+    "jsonl": files.json_lines,
     "chrome-history": lambda s, p: _visited(s, p, "chrome-history"),
     "firefox-history": lambda s, p: _visited(s, p, "firefox-history"),
 }
@@ -94,10 +95,18 @@ class KnowledgeBase:
         level = F.col("privacy_level") if privacy is None else F.greatest(F.col("privacy_level"), F.lit(privacy))
         return rows.select(F.lit(name).alias("source_name"), *[c.split()[0] for c in DOCUMENT.split(", ")[:-1]], level.cast("int").alias("privacy_level"), content_hash(F.coalesce("text", F.lit(""))).alias("content_hash"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("content_size"))
 
-    def add_source(self, name: str, path: str, form: str, privacy: int | None = None) -> None:
+    def add_source(self, name: str, path: str, form: str, privacy: int | None = None) -> dict[str, int]:
+        """Ingest a new source; its metrics."""
         if not self.content().where(F.col("source_name") == name).isEmpty():
             raise ValueError(f"source {name} already exists")
         self._replace(name, self._load(name, path, form, privacy))
+        return self.metrics(name)
+
+    def metrics(self, name: str) -> dict[str, int]:
+        """documents, bytes and chunks of a source."""
+        own = self.content().where(F.col("source_name") == name)
+        said = own.agg(F.count("text").alias("documents"), F.coalesce(F.sum("content_size"), F.lit(0)).alias("bytes")).first()
+        return {"documents": said.documents, "bytes": said.bytes, "chunks": self.chunks().where(F.col("source_name") == name).count()}
 
     def add_documents(self, name: str, rows: DataFrame, privacy: int = 0) -> None:
         """A source from rows with external_id and text, and title if there is one."""

@@ -63,7 +63,7 @@ def main(argv: Sequence[str] | None = None, kb: KnowledgeBase | None = None) ->
     kb = kb or KnowledgeBase(build_session(), given.base)
     said: object = None
     if given.verb == "add":
-        kb.add_source(given.name, given.raw, given.format, given.privacy)
+        said = kb.add_source(given.name, given.raw, given.format, given.privacy)
     elif given.verb == "update":
         said = kb.update_source(given.name, given.raw, given.format, given.privacy)
     elif given.verb == "delete":

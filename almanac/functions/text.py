@@ -136,6 +136,12 @@ def section(text: Column, name: str) -> Column:
     return bind(F.split(text, "\n"), cut)
 
 
+def heading_lines(text: Column) -> Column:
+    """line (from 0) and heading of each line that begins ``# `` or ``## ``, in order."""
+    numbered = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line"), F.btrim(F.regexp_replace(x, "^#{1,2} ", "")).alias("heading"), x.rlike("^#{1,2} ").alias("is_one")))
+    return F.transform(F.filter(numbered, lambda s: s["is_one"]), lambda s: F.struct(s["line"].alias("line"), s["heading"].alias("heading")))
+
+
 def occurrences(text: Column, pattern: str) -> Column:
     """How often a literal occurs, overlapping ones included."""
     if not pattern:

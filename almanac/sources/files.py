@@ -97,6 +97,27 @@ def mediawiki_documents(spark: SparkSession, path: str, min_chars: int = 200) ->
     return body.select(*_document(F.translate("title", " /\\:", "____"), F.col("title"), F.concat(F.lit("# "), "title", F.lit("\n\n"), "text"), "Article"))
 
 
+def json_lines(spark: SparkSession, path: str, text: str = "text", key: str = "id", title: str = "title") -> DataFrame:
+    """Documents from objects, one a line; objects without a text are left out."""
+    rows = spark.read.text(path).select(F.get_json_object("value", f"$.{key}").alias("key"), F.get_json_object("value", f"$.{title}").alias("name"), F.get_json_object("value", f"$.{text}").alias("body"))
+    rows = rows.where("body is not null").withColumn("key", F.coalesce("key", F.sha2("body", 256)))
+    return rows.select(*_document(F.col("key"), F.coalesce("name", "key"), F.col("body"), "Article"))
+
+
+_TRIPLE = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"\S*)\s*\.\s*$'
+
+
+def triples(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """relations (subject_id, predicate, object_id) and facts (subject_id, predicate, value) of N-Triples files."""
+    part = lambda n: F.regexp_extract("value", _TRIPLE, n)
+    bare = lambda c: F.regexp_replace(c, "^<|>$", "")
+    rows = spark.read.text(path).select(bare(part(1)).alias("subject_id"), part(2).alias("predicate"), part(3).alias("object")).where("subject_id <> ''")
+    literal = F.col("object").startswith('"')
+    relations = rows.where(~literal).select("subject_id", "predicate", bare(F.col("object")).alias("object_id"))
+    value = F.regexp_extract("object", r'^"((?:[^"\\]|\\.)*)"', 1)
+    return relations, rows.where(literal).select("subject_id", "predicate", F.regexp_replace(value, r'\\(["\\])', "$1").alias("value"))
+
+
 #: Properties of entity dumps that become relations or facts. Fixed values.
 PROPERTIES = {
     "P31": "instance_of", "P279": "subclass_of", "P17": "country", "P36": "capital", "P131": "located_in", "P625": "coordinates", "P1082": "population", "P569": "date_of_birth",

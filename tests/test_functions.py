@@ -73,6 +73,10 @@ def test_cosine(spark):
 PARIS = "# Paris\nintro\n## Geography\nriver\n## History\nold\n## Landmarks\nmany\n### Eiffel Tower\ntall\n### Louvre Museum\nwide\n## Demographics\nmany\n"
 
 
+def test_heading_lines(spark):
+    assert [tuple(r) for r in one(spark, T.heading_lines(F.col("t")), t="# a\nx\n## b\n### c\n#no")] == [(0, "a"), (2, "b")]
+
+
 def test_chunker_sections(spark):
     rows = chunk(spark.createDataFrame([(1, PARIS)], "doc_id long, text string")).orderBy("chunk_index").collect()
     assert [r.section_path for r in rows] == [None, "Geography", "History", "Landmarks", "Eiffel Tower", "Louvre Museum", "Demographics"]

@@ -243,3 +243,13 @@ def test_zim(spark, tmp_path, kind):
     path = write(tmp_path / "t.zim", archive(kind))
     rows = zim.zim_documents(spark, path, pieces=2).collect()
     assert sorted((r.external_id, r.title, r.text) for r in rows) == [("One", "Article One", "# One\n\nfirst"), ("Two", "Two", "second")]
+
+
+def test_json_lines_and_triples(spark, tmp_path):
+    path = write(tmp_path / "d.jsonl", '{"id": "a", "title": "A", "text": "one"}\n{"text": "two"}\n{"id": "x"}\nbroken\n')
+    rows = files.json_lines(spark, path).collect()
+    assert sorted(r.text for r in rows) == ["one", "two"] and {r.title for r in rows if r.text == "one"} == {"A"}
+    path = write(tmp_path / "d.nt", '<http://a> <http://p> <http://b> .\n<http://a> <http://n> "say \\"hi\\""@en .\n# no\n_:x <http://p> _:y .\n')
+    relations, facts = files.triples(spark, path)
+    assert sorted(map(tuple, relations.collect())) == [("_:x", "http://p", "_:y"), ("http://a", "http://p", "http://b")]
+    assert [tuple(r) for r in facts.collect()] == [("http://a", "http://n", 'say "hi"')]
