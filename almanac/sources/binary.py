@@ -12,7 +12,6 @@ import posixpath
 import re
 import sqlite3
 import struct
-import tempfile
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
@@ -231,15 +230,13 @@ HISTORIES = {
 
 def history_rows(query: str) -> Callable[[str, bytes], Iterator[dict]]:
     def rows(name: str, content: bytes) -> Iterator[dict]:
-        with tempfile.NamedTemporaryFile(suffix=".sqlite") as f:  # of this task alone, and gone with it
-            f.write(content)
-            f.flush()
-            base = sqlite3.connect(f"file:{f.name}?mode=ro&immutable=1", uri=True)
-            try:
-                for url, title, visits, at in base.execute(query):
-                    yield {"url": url, "title": title, "visits": visits, "at": at}
-            finally:
-                base.close()
+        base = sqlite3.connect(":memory:")
+        try:
+            base.deserialize(content[:18] + b"\x01\x01" + content[20:])  # as if without a write-ahead log, which memory has none of
+            for url, title, visits, at in base.execute(query):
+                yield {"url": url, "title": title, "visits": visits, "at": at}
+        finally:
+            base.close()
 
     return rows
 

@@ -12,6 +12,7 @@ import struct
 from collections import defaultdict
 from collections.abc import Iterator
 
+import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,8 @@ class Archive:
     """Random access to an archive's entries and blobs."""
 
     def __init__(self, path: str):
-        self.file = open(path, "rb")
+        store, inside = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path.removeprefix("file:"))
+        self.file = store.open_input_file(inside)
         head = self._at(0, 80)
         magic, self.major, _, _, self.n_entries, self.n_clusters, self.paths_at, _, self.clusters_at, self.mimes_at = struct.unpack_from("<IHH16sIIQQQQ", head)
         if magic != MAGIC:
@@ -85,7 +87,7 @@ class Clusters(InputPartition):
 
 class ZimReader(DataSourceReader):
     def __init__(self, path: str, pieces: int):
-        self.path, self.pieces = path.removeprefix("file://").removeprefix("file:"), pieces
+        self.path, self.pieces = path, pieces
 
     def partitions(self) -> list[InputPartition]:
         n = Archive(self.path).n_clusters

@@ -203,6 +203,7 @@ def test_histories(spark, tmp_path):
         ("firefox", "moz_places(url, title, visit_count, last_visit_date)", [("http://a/", "A", 2, 1_705_526_400_000_000), ("http://never/", None, 0, None)]),
     ):
         base = sqlite3.connect(tmp_path / name)
+        base.execute("pragma journal_mode=wal")
         base.execute(f"create table {ddl}")
         base.executemany(f"insert into {ddl.split('(')[0]} values (?, ?, ?, ?)", rows)
         base.commit()
