@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from almanac.session import spread
+
 MAX_BYTES = 1500
 _PIECE = "struct<section:string,body:string>"
 
@@ -45,5 +47,6 @@ def chunk(docs: DataFrame, text_col: str = "text", max_bytes: int = MAX_BYTES, c
     """
     pieces = fold_lines(F.col(text_col), max_bytes, by_heading=not conversation)
     rest = [c for c in docs.columns if c != text_col]
+    docs = spread(docs, rest[0]) if rest else docs
     exploded = docs.select(*rest, F.posexplode(pieces).alias("chunk_index", "_piece"))
     return exploded.select(*rest, "chunk_index", F.col("_piece.section").alias("section_path"), F.col("_piece.body").alias("chunk"), F.octet_length("_piece.body").cast("long").alias("byte_len"))

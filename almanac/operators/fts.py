@@ -4,21 +4,24 @@ Scores are those of Robertson and Zaragoza: idf = ln(1 + (N - df + 0.5) / (df +
 idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average)), summed. Statistics are those of the whole corpus;
 filters are applied to what is scored. Equal scores go to the smaller key.
 
-*Scan.* Each text is tokenised once into its length and the frequencies of the query's terms: no explode and no
-shuffle of postings. The corpus statistics are one row, broadcast. *Index.* ``build_index`` writes postings clustered
+*Scan.* Each text is tokenised into its length and the frequencies of the query's terms, once for the corpus
+statistics (one row, broadcast) and once for the scores: no explode and no shuffle of postings. *Index.* ``build_index`` writes postings clustered
 by term, so a query reads its terms' row groups only.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almanac.functions.text import MAX_TOKEN_BYTES, bind, tokens
+from almanac.session import spread
 
 K1, B = 1.2, 0.75
 LIMITS = {"quick": 5, "normal": 20, "deep": 50}
@@ -81,12 +84,12 @@ def words_query(text: str) -> Query:
     return Query(tuple(Clause((w,)) for w in dict.fromkeys(analyse(text))))
 
 
-def _phrase_frequency(words: Sequence[str], token_col: Column) -> Column:
-    """How often the words follow one another."""
+def _frequency(words: Sequence[str], t: Column) -> Column:
+    """How often the words follow one another in an array of tokens."""
     if len(words) == 1:
-        return F.size(F.filter(token_col, lambda t: t == words[0])).cast("long")
-    follow = lambda t, i: F.coalesce(_all([F.get(t, i + k) == w for k, w in enumerate(words)]), F.lit(False))
-    return bind(token_col, lambda t: F.size(F.filter(t, lambda x, i: (x == words[0]) & follow(t, i)))).cast("long")
+        return F.size(F.filter(t, lambda x: x == words[0]))
+    follow = lambda i: F.coalesce(_all([F.get(t, i + k) == w for k, w in enumerate(words)]), F.lit(False))
+    return F.size(F.filter(t, lambda x, i: (x == words[0]) & follow(i)))
 
 
 def _all(conditions: list[Column]) -> Column:
@@ -106,13 +109,24 @@ def search(docs: DataFrame, query: Query | str, limit: int | None = 10, fields:
     if not any(c.occurs != "must_not" for c in query.clauses):
         return docs.select(key).where(F.lit(False)).select(key, F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
     scored = [(i, f, c) for i, c in enumerate(query.clauses) for f in (c.fields or tuple(fields))]
-    tokenised = docs.select(key, (where if where is not None else F.lit(True)).alias("_eligible"), *(tokens(F.col(f)).alias(f"_t_{f}") for f in fields))
-    lengths = [F.size(f"_t_{f}").cast("long").alias(f"_len_{f}") for f in fields]
-    frequencies = [_phrase_frequency(c.words, F.col(f"_t_{f}")).alias(f"_tf_{i}_{f}") for i, f, c in scored]
     # a phrase weighs as much as its words' idfs together
     singles = sorted({(w, f) for _, f, c in scored for w in c.words})
-    holds = [F.array_contains(f"_t_{f}", w).cast("long").alias(f"_has_{n}") for n, (w, f) in enumerate(singles)]
-    narrow = tokenised.select(key, "_eligible", *lengths, *frequencies, *holds)
+    # each text is tokenised once: what the query needs of it is read off the same array
+    def measure(f: str) -> Column:
+        parts = lambda t: F.struct(
+            F.size(t).cast("long").alias("len"),
+            *(_frequency(c.words, t).cast("long").alias(f"tf_{i}") for i, g, c in scored if g == f),
+            *(F.array_contains(t, w).cast("long").alias(f"has_{n}") for n, (w, g) in enumerate(singles) if g == f),
+        )
+        return bind(tokens(F.col(f)), parts)
+
+    measured = {f: measure(f) for f in fields}
+    wide = spread(docs.select(key, *dict.fromkeys(fields), (where if where is not None else F.lit(True)).alias("_eligible")), key)
+    # the number of a row's partition isn't a function of the row, so no filter moves below this and tokenises again
+    found = wide.select(key, "_eligible", *(m.alias(f"_m_{f}") for f, m in measured.items()), F.spark_partition_id().alias("_part"))
+    narrow = found.select(
+        key, "_eligible", "_part", *(F.col(f"_m_{f}.len").alias(f"_len_{f}") for f in fields), *(F.col(f"_m_{f}.tf_{i}").alias(f"_tf_{i}_{f}") for i, f, _ in scored), *(F.col(f"_m_{f}.has_{n}").alias(f"_has_{n}") for n, (_, f) in enumerate(singles))
+    )
     stats = narrow.agg(F.count("*").alias("_n"), *(F.avg(f"_len_{f}").alias(f"_avg_{f}") for f in fields), *(F.sum(f"_has_{n}").alias(f"_df_{n}") for n in range(len(singles))))
     n = F.col("_n")
 
@@ -126,7 +140,7 @@ def search(docs: DataFrame, query: Query | str, limit: int | None = 10, fields:
         return c.boost * weight * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col(f"_len_{f}") / F.col(f"_avg_{f}")))
 
     matched = {i: sum((F.col(f"_tf_{j}_{f}") for j, f, _ in scored if j == i), F.lit(0)) > 0 for i, _, _ in scored}
-    keep = F.col("_eligible")
+    keep = F.col("_eligible") & (F.col("_part") >= 0)
     for i, c in enumerate(query.clauses):
         if c.occurs != "should":
             keep = keep & (matched[i] if c.occurs == "must" else ~matched[i])
@@ -149,33 +163,62 @@ def ranked(hits: DataFrame, score: str, ties: Sequence[str], limit: int | None)
 
 
 def postings(docs: DataFrame, fields: Sequence[str] = ("text",), key: str = "doc_id") -> DataFrame:
-    """term, field, key, tf and positions of every term of every document."""
-    one = lambda f: docs.select(key, F.lit(f).alias("field"), F.posexplode(tokens(F.col(f))).alias("position", "term"))
-    every = one(fields[0])
-    for f in fields[1:]:
-        every = every.unionByName(one(f))
-    # a document's own terms only meet, so groups are no larger than a document
-    return every.groupBy("term", "field", key).agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
+    """key, field, length, term, tf and positions of every term of every document.
+
+    A document's tokens are one array, grouped where they are, a batch of documents at a time: nothing is shuffled.
+    """
+    found = None
+    for f in fields:
+        own = spread(docs.select(key, F.col(f)), key).select(key, F.lit(f).alias("field"), tokens(F.col(f)).alias("tokens"))
+        found = own if found is None else found.unionByName(own)
+    kind = dict(docs.dtypes)[key]
+
+    def group(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("tokens")
+            lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            if not lengths.sum():
+                continue
+            document = np.repeat(np.arange(len(lengths)), lengths)
+            position = np.arange(len(document)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            words = lists.flatten().dictionary_encode()
+            code = words.indices.to_numpy()
+            order = np.lexsort((position, code, document))
+            document, code, position = document[order], code[order], position[order].astype(np.int32)
+            first = np.flatnonzero(np.concatenate([[True], (document[1:] != document[:-1]) | (code[1:] != code[:-1])]))
+            ends = np.append(first, len(document)).astype(np.int32)
+            of = pa.array(document[first])
+            columns = [batch.column(key).take(of), batch.column("field").take(of), pa.array(lengths[document[first]]), words.dictionary.take(pa.array(code[first])), pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(position))]
+            yield pa.RecordBatch.from_arrays(columns, [key, "field", "length", "term", "tf", "positions"])
+
+    return found.mapInArrow(group, f"{key} {kind}, field string, length long, term string, tf long, positions array<int>")
+
+
+#: A frequent term's postings are written by so many tasks.
+_TERM_PARTS = 16
 
 
 def build_index(docs: DataFrame, folder: str, fields: Sequence[str] = ("text",), key: str = "doc_id") -> None:
-    """Write postings (clustered by term) and lengths below ``folder``. A rebuild replaces them."""
-    postings(docs, fields, key).repartitionByRange("term").sortWithinPartitions("term", "field").write.mode("overwrite").parquet(f"{folder}/postings")
-    sized = [docs.select(key, F.lit(f).alias("field"), F.size(tokens(F.col(f))).cast("long").alias("length")) for f in fields]
-    every = sized[0]
+    """Write postings, clustered by term and each with its document's length, and the corpus statistics below
+    ``folder``. A rebuild replaces them.
+    """
+    sized = [spread(docs.select(key, F.col(f)), key).select(F.lit(f).alias("field"), F.size(tokens(F.col(f))).cast("long").alias("length")) for f in fields]
+    lengths = sized[0]
     for s in sized[1:]:
-        every = every.unionByName(s)
-    every.write.mode("overwrite").parquet(f"{folder}/lengths")
+        lengths = lengths.unionByName(s)
+    lengths.groupBy("field").agg(F.count("*").alias("n"), F.avg("length").alias("average")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/corpus")
+    part = F.pmod(F.xxhash64(key), F.lit(_TERM_PARTS))
+    dealt = postings(docs, fields, key).repartition("term", part)
+    dealt.sortWithinPartitions("term", "field").write.mode("overwrite").parquet(f"{folder}/postings")
 
 
 def search_index(spark: SparkSession, folder: str, query: str, limit: int | None = 10, key: str = "doc_id", k1: float = K1, b: float = B) -> DataFrame:
     """Like ``search`` for the query's words, which may occur, from a written index: only their postings are read."""
     terms = list(dict.fromkeys(analyse(query)))
-    lengths = spark.read.parquet(f"{folder}/lengths")
-    hits = spark.read.parquet(f"{folder}/postings").where(F.col("term").isin(terms)).select("term", "field", key, "tf")
-    corpus = lengths.groupBy("field").agg(F.count("*").alias("n"), F.avg("length").alias("average"))  # one row a field
+    hits = spark.read.parquet(f"{folder}/postings").where(F.col("term").isin(terms)).select("term", "field", key, "tf", "length")
+    corpus = spark.read.parquet(f"{folder}/corpus")  # one row a field
     df = hits.groupBy("term", "field").agg(F.count("*").alias("df"))  # one row a query term and field
-    joined = hits.join(F.broadcast(df), ["term", "field"]).join(F.broadcast(corpus), "field").join(lengths, ["field", key])
+    joined = hits.join(F.broadcast(df), ["term", "field"]).join(F.broadcast(corpus), "field")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     score = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("average")))
     return ranked(joined.groupBy(key).agg(F.round(F.sum(score), 6).alias("score")), "score", [key], limit)

@@ -35,6 +35,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over all cores where it lies in fewer files than there are cores; as it is where files are many.
+
+    Small files hold one row group, which one task reads; work that is heavy for each row would be that task's alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if 0 < len(df.inputFiles()) < cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``; a local one only where that
     is unset, as in tests.
