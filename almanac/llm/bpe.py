@@ -28,13 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from almanac.llm.words import slices
 from almanac.session import shuffle_partitions
 
 CHUNK, OVERLAP = 1 << 15, 512
 #: Up to so many characters after a pre-token's end decide where it ends: a contraction's two letters.
 _LOOK = 3
 #: A worker's dictionary of encoded pieces is emptied at this size: it only saves time. Longer pieces stay out of it.
-_CACHE_ENTRIES, _CACHE_PIECE = 200_000, 64
+_CACHE_ENTRIES, _CACHE_PIECE = 100_000, 64
 
 
 def split_pattern(pattern: str) -> regex.Pattern:
@@ -131,13 +132,13 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, chunk: int = CHUNK, ov
 
     def whole(batches):
         vocabulary = _loaded(content.value, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             ids = [vocabulary.encode_pieces(vocabulary.pattern.findall(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(map(vocabulary.decode, ids), pa.binary())], result.names)
 
     def pretokenise(batches):
         vocabulary = _loaded(content.value, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             found = [vocabulary.starts(t, b, e) for t, b, e in zip(*(batch.column(c).to_pylist() for c in ("piece", "base", "is_end")))]
             columns = [batch.column(c) for c in ("row", "base", "piece")] + [pa.array([np.array(x, "<i8").tobytes() for x in found], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["row", "base", "piece", "starts"])

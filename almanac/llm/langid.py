@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almanac.llm.words import byte_texts
+from almanac.llm.words import byte_texts, slices
 
 UNKNOWN = "und"
 SIZES, BINS = (2, 3, 4), 1 << 15
@@ -99,7 +99,7 @@ def train(docs: DataFrame, train_docs: int = 1500, max_languages: int = 64) -> C
 
     def count(batches):
         totals: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for lang, text in zip(batch.column("lang").to_pylist(), byte_texts(batch.column("text"))):
                 totals[lang] = totals.get(lang, 0) + np.bincount(grams(text), minlength=BINS)
         yield pa.RecordBatch.from_arrays([pa.array(totals, pa.string()), pa.array([v.astype("<i8").tobytes() for v in totals.values()], pa.binary())], ["lang", "counts"])
@@ -122,7 +122,7 @@ def identify(docs: DataFrame, book: Codebook) -> DataFrame:
     rows = docs.select("doc_id", "text")
 
     def label(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = list(zip(*map(book.predict, byte_texts(batch.column("text"))))) or [(), (), ()]
             columns = [batch.column("doc_id"), *(pa.array(x, k) for x, k in zip(found, (pa.string(), pa.float64(), pa.bool_())))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang_pred", "score", "ambiguous"])

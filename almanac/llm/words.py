@@ -6,6 +6,8 @@ which is what ``bytes.split()`` yields. All of these are single bytes in UTF-8,
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -13,7 +15,7 @@ import xxhash
 #: Java regular expression of one word.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A worker's dictionary of word hashes is emptied at this size: it only saves time.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 100_000
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
@@ -31,6 +33,13 @@ class WordHashes(dict):
 _HASHES = WordHashes()
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows by the few hundred, so that lists made of them stay small beside the batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def byte_texts(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
     """The texts of an Arrow column as UTF-8, without decoding them."""
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
