@@ -145,12 +145,12 @@ def masked(docs: DataFrame, model: RandomForestClassificationModel, path_col: st
     """
     key = F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text"))
     tagged = docs.select(F.to_json(key).alias("doc_id"), "text", *([F.col(path_col)] if path_col and path_col not in ("doc_id", "text") else []))
-    secrets = scan(tagged, model, path_col, threshold).where("is_secret").groupBy("doc_id").agg(F.collect_set("value").alias("_values"))
-    longest_first = F.transform(F.array_sort(F.transform("_values", lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v")))), lambda s: s["v"])
-    secrets = secrets.select(F.col("doc_id").alias("_key"), longest_first.alias("_values"))
-    joined = docs.withColumn("_key", F.to_json(key)).join(secrets, "_key", "left")
-    text = F.aggregate("_values", F.col("text"), lambda t, v: F.replace(t, v, F.lit(MASK)))
-    out = joined.withColumn("text", F.when(F.col("_values").isNull(), F.col("text")).otherwise(text))
+    secrets = scan(tagged, model, path_col, threshold).where("is_secret").groupBy("doc_id").agg(F.collect_set("value").alias("__almanac_values"))
+    longest_first = F.transform(F.array_sort(F.transform("__almanac_values", lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v")))), lambda s: s["v"])
+    secrets = secrets.select(F.col("doc_id").alias("__almanac_key"), longest_first.alias("__almanac_values"))
+    joined = docs.withColumn("__almanac_key", F.to_json(key)).join(secrets, "__almanac_key", "left")
+    text = F.aggregate("__almanac_values", F.col("text"), lambda t, v: F.replace(t, v, F.lit(MASK)))
+    out = joined.withColumn("text", F.when(F.col("__almanac_values").isNull(), F.col("text")).otherwise(text))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_values").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col("__almanac_values").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
