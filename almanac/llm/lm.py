@@ -92,7 +92,7 @@ def traverse(streams: Streams, counts: list[np.ndarray], tokens: int, types: int
     return known.astype(np.int64), base_score, score
 
 
-def score_texts(docs: DataFrame, held_out: Column, order: int = 2, mu: float = 1.0) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column, order: int = 2, mu: float = 128.0) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; rows not held out train."""
     spark = docs.sparkSession
     # letters are shards times owners: few owners, as an owner's work is small
@@ -149,7 +149,7 @@ def score_texts(docs: DataFrame, held_out: Column, order: int = 2, mu: float = 1
 class Automaton:
     """The same model in memory, state by state; for small corpora and for holding the distributed one against."""
 
-    def __init__(self, texts: list[str | None], order: int = 2, mu: float = 1.0):
+    def __init__(self, texts: list[str | None], order: int = 2, mu: float = 128.0):
         self.order, self.mu = order, mu
         self.counts: dict[tuple, int] = {}
         for text in texts:
