@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from almanac.llm.words import byte_texts
+from almanac.llm.words import byte_texts, slices
 from almanac.session import cut_lineage, shuffle_partitions
 
 SEED = 42
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
 
     def of(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [majority_bits(shingle_hashes(t, shingle)) if t else 0 for t in byte_texts(batch.column("text"))]
             columns = [batch.column("doc_id"), pa.array(np.array(found, np.uint64).view(np.int64)), batch.column("text_hash")]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "text_hash"])
@@ -182,7 +182,7 @@ def components(edges: DataFrame) -> DataFrame:
         star = smaller(pairs)
         return star.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(star.select("a", F.col("m").alias("b"))).distinct()
 
-    state = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    state = cut_lineage(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
         state = cut_lineage(small_star(large_star(state)))
@@ -216,9 +216,9 @@ def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
     prints = cut_lineage(fingerprints(docs, shingle))
     joined = prints.join(classes(prints, max_bits).select("fp", "root"), "fp")
     best = joined.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("best"))
-    chosen = best.select(_name("best.doc_id").alias("_name"), F.col("best.text_hash").alias("_hash"))
-    keyed = docs.withColumns({"_name": _name("doc_id"), "_hash": F.xxhash64("text")})
-    return keyed.join(chosen, ["_name", "_hash"], "left_semi").dropDuplicates(["_name", "_hash"]).drop("_name", "_hash")
+    chosen = best.select(_name("best.doc_id").alias("__almanac_name"), F.col("best.text_hash").alias("__almanac_hash"))
+    keyed = docs.withColumns({"__almanac_name": _name("doc_id"), "__almanac_hash": F.xxhash64("text")})
+    return keyed.join(chosen, ["__almanac_name", "__almanac_hash"], "left_semi").dropDuplicates(["__almanac_name", "__almanac_hash"]).drop("__almanac_name", "__almanac_hash")
 
 
 def _name(doc_id: str) -> Column:
