@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 from pyspark.sql import functions as F
 
@@ -29,6 +30,18 @@ def test_final_sessions_of_a_stream_equal_those_of_a_batch(spark, tmp_path):
     assert live.counts(spark.read.parquet(f"{tmp_path}/in"), "2 days", "1 day").agg(F.sum("n_events")).first()[0] == 18
 
 
+def test_numbered_segments(spark, tmp_path):
+    day = dt.datetime(2024, 1, 1)
+    for u, hours in ((1, (0, 1, 3)), (2, (0,)), (1, (6, 30)), (9, (24 * 60,)), (9, (24 * 61,))):
+        spark.createDataFrame([(u, day + dt.timedelta(hours=h)) for h in hours], "user_id long, ts timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(0.05)
+    stream = spark.readStream.schema("user_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    closed = drained(live.segments(stream, "user_id", watermark="1 hour"), tmp_path)
+    found = {(r.user_id, r.segment): (r.segment_start, r.segment_end, r.n_events) for r in closed.collect()}
+    at = lambda h: day + dt.timedelta(hours=h)
+    assert found[1, 0] == (at(0), at(3), 3) and found[1, 1] == (at(6), at(6), 1) and found[1, 2] == (at(30), at(30), 1) and found[2, 0] == (at(0), at(0), 1)
+
+
 def test_repeats_in_a_stream_are_dropped(spark, tmp_path):
     at = dt.datetime(2024, 1, 1)
     for _ in range(2):
