@@ -105,7 +105,8 @@ def train(docs: DataFrame, train_docs: int = 1500, max_languages: int = 64) -> C
         yield pa.RecordBatch.from_arrays([pa.array(totals, pa.string()), pa.array([v.astype("<i8").tobytes() for v in totals.values()], pa.binary())], ["lang", "counts"])
 
     counts = np.zeros((len(languages), BINS))
-    for r in sample.mapInArrow(count, "lang string, counts binary").toLocalIterator():
+    # the sample is bounded, so a few tasks count it, and a few rows come back
+    for r in sample.coalesce(8).mapInArrow(count, "lang string, counts binary").toLocalIterator():
         counts[languages.index(r.lang)] += np.frombuffer(bytes(r.counts), "<i8")
     shares = (counts + 0.1) / (counts + 0.1).sum(axis=1, keepdims=True)
     code = codewords(len(languages))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almanac.llm.words import byte_texts, hash_words, ngram_hashes
+from almanac.llm.words import byte_texts, hash_words, ngram_hashes, slices
 
 SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -32,7 +32,7 @@ _UPPER, _LOWER, _DIGITS = bytes(range(65, 91)), bytes(range(97, 123)), b"0123456
 _CONTINUATION = bytes(range(0x80, 0xC0))
 #: What a line can look like, one bit each.
 FEATURES = ("always", "blank", "earlier_line", "up_to_3_words", "over_40_words", "symbols_over_5%", "symbols_over_15%", "upper_over_half", "digits_over_20%", "many_bars", "ends_sentence", "begins_upper", "long_words", "few_distinct_words", "exclamations", "web_address")
-_TRAIN_LINES = 400
+_TRAIN_LINES = 64
 CONTENT, BOILERPLATE = 0, 1
 
 
@@ -118,7 +118,7 @@ def _bits(masks: np.ndarray) -> np.ndarray:
     return (masks[:, None] >> np.arange(len(FEATURES)) & 1).astype(np.float64)
 
 
-def fit_field(sequences: list[np.ndarray], labels: list[int], rounds: int = 150, step: float = 0.5, ridge: float = 1e-3) -> LineField:
+def fit_field(sequences: list[np.ndarray], labels: list[int], rounds: int = 80, step: float = 0.8, ridge: float = 1e-3) -> LineField:
     """Maximise the penalised likelihood of the labelled lines by gradient ascent, all sequences side by side.
 
     Both classes of document weigh the same, so that rare bad documents count.
@@ -175,10 +175,11 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = 1500) -> LineFie
         return LineField.flat()
     spark = docs.sparkSession
     sample = spark.createDataFrame(chosen, "doc_id long, quality int")
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text")
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # one row an id, however many have it
 
     def masks(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [line_masks(t)[0][:_TRAIN_LINES].tobytes() for t in byte_texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(found, pa.binary())], ["doc_id", "quality", "masks"])
 
@@ -208,7 +209,7 @@ def judge(docs: DataFrame, field: LineField, min_share: float = 0.5, keep_column
 
     def verdicts(batches):
         kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
-        for batch in batches:
+        for batch in slices(batches):
             found = list(zip(*map(measure, byte_texts(batch.column("text"))))) or [()] * len(names)
             if keep_columns:
                 yield batch.filter(pa.array(found[-1], pa.bool_()))
