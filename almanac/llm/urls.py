@@ -23,6 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from almanac.session import cut_lineage
+
 #: Second-level labels that are public suffixes below a country's label. Fixed values.
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -76,7 +78,8 @@ def reputations(outcomes: DataFrame, limit: float) -> dict[str, DataFrame]:
 
     ``outcomes`` has host, domain, suffix and bad (0 or 1) for each labelled page.
     """
-    counts = {"host": outcomes.where("bad is not null").groupBy("suffix", "domain", "host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))}
+    by_host = outcomes.where("bad is not null").groupBy("suffix", "domain", "host").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
+    counts = {"host": cut_lineage(by_host)}  # all levels are made of these, a row a host
     for level, below in (("domain", "host"), ("suffix", "domain")):
         keys = _LEVELS[: _LEVELS.index(level) + 1]
         counts[level] = counts[below].groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
