@@ -18,11 +18,15 @@ any order among equals. With fewer than k candidates all are returned. No rows i
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from almanac.session import shared_folder
+
 _BINS = 1024
 
 
@@ -69,16 +73,18 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", v
     candidates = _usable(rows, id_col, vector_col, scale)
     asked = _usable(queries, id_col, vector_col, scale)
     ids = asked.select("id").distinct().sort("id")
-    schema = "query_id long, rank int, vec_id long, score long"
-    found, after = spark.createDataFrame([], schema), None
+    schema, folder, after = "query_id long, rank int, vec_id long, score long", "", None
     while True:
         later = ids if after is None else ids.where(F.col("id") > after)
-        edge = later.limit(block).agg(F.min("id").alias("a"), F.max("id").alias("b")).first()
+        edge = later.limit(block).agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).first()
         if edge.a is None:
+            return spark.read.schema(schema).parquet(folder) if folder else spark.createDataFrame([], schema)
+        found = _block(candidates, asked.where(F.col("id").between(edge.a, edge.b)).toArrow(), k)
+        if after is None and edge.n < block:
             return found
-        after = edge.b
-        own = asked.where(F.col("id").between(edge.a, edge.b)).toArrow()
-        found = found.unionByName(_block(candidates, own, k))
+        # with several blocks, each one's answers are written, so that the plan doesn't grow with them
+        folder, after = folder or f"{shared_folder(spark)}/top-{uuid.uuid4().hex}", edge.b
+        found.write.mode("append").parquet(folder)
 
 
 def _block(candidates: DataFrame, asked: pa.Table, k: int) -> DataFrame:
