@@ -13,7 +13,7 @@ each copy holds a whole block of ``anchor = (window + 1) // 2`` words that begin
 Texts are dealt into shards once. A shard sends each distinct hash once, however often it occurs in it, to the
 partition that owns the hash, and hears back which of them count: a passage that stands in a third of all texts is as
 many rows as there are shards. Anchors travel as 32 bits beside the number of the partition that owns them, for
-they only nominate; repeats are decided on 128 bits.
+they only nominate; repeats are decided on 96 bits.
 
 Defined results: a null or empty text has no words, none removed, and an empty kept text. Rows are judged one by one,
 also if they repeat (a repeated row's passages then do stand twice). Null ids are kept as they are. Other columns of
@@ -29,20 +29,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almanac.llm.words import byte_texts, hash_texts, inside, member, ngram_hashes
+from almanac.llm.words import byte_texts, hash_texts, inside, maybe_member, member, ngram_hashes
 from almanac.session import shuffle_partitions
 
 _LETTER = "owner int, shard int, hashes binary, flags binary"
 _REPLY = "shard int, owner int, hashes binary"
 _RESULT = "doc_id {id}, n_words long, spans array<struct<start:long,end:long>>, kept_text string"
-_PAIR = np.dtype([("lo", "<u8"), ("hi", "<u8")])
+_PAIR = np.dtype([("lo", "<u8"), ("hi", "<u4")])
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, spans (maximal repeats as ranges of words), kept_text."""
     spark = docs.sparkSession
     anchor = (window + 1) // 2
-    owners = shards = 2 * shuffle_partitions(spark)
+    # letters are shards times owners: few owners, as an owner's work is small
+    shards, owners = 2 * shuffle_partitions(spark), shuffle_partitions(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int"))
     sharded = rows.groupBy("shard")
@@ -74,9 +75,9 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
         pairs = _window_pairs(words, window)
         start = np.arange(len(pairs))
         near = reach[np.minimum(start + window - anchor + 1, len(hit))] > reach[start]
-        pairs = np.sort(pairs[near & inside(offsets, window, len(pairs))], order=("lo", "hi"))
+        pairs = _in_order(pairs[near & inside(offsets, window, len(pairs))])
         new = np.ones(len(pairs), bool)
-        new[1:] = pairs[1:] != pairs[:-1]
+        new[1:] = (pairs["lo"][1:] != pairs["lo"][:-1]) | (pairs["hi"][1:] != pairs["hi"][:-1])
         at = np.flatnonzero(new)
         flags = (np.diff(np.append(at, len(pairs))) > 1).astype(np.uint8)
         pairs = pairs[at]
@@ -92,7 +93,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     def remove(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         texts = byte_texts(table["text"])
         repeated = [np.frombuffer(x, _PAIR) for x in replies["hashes"].to_pylist()] if len(replies) else []
-        repeated = np.sort(np.concatenate(repeated), order=("lo", "hi")) if repeated else np.zeros(0, _PAIR)
+        repeated = _in_order(np.concatenate(repeated)) if repeated else np.zeros(0, _PAIR)
         counts, spans, kept = [], [], []
         if len(repeated):
             words, offsets = hash_texts(texts)
@@ -133,21 +134,26 @@ def _anchor_codes(words: np.ndarray, anchor: int, owners: int) -> np.ndarray:
 def _window_pairs(words: np.ndarray, window: int) -> np.ndarray:
     lo = ngram_hashes(words, window, seed=1)
     out = np.empty(len(lo), _PAIR)
-    out["lo"], out["hi"] = lo, ngram_hashes(words, window, seed=2)
+    out["lo"], out["hi"] = lo, ngram_hashes(words, window, seed=2) >> np.uint64(32)
     return out
 
 
+def _in_order(pairs: np.ndarray) -> np.ndarray:
+    return pairs[np.lexsort((pairs["hi"], pairs["lo"]))]
+
+
 def _is_repeated(pairs: np.ndarray, repeated: np.ndarray) -> np.ndarray:
-    lo = np.ascontiguousarray(repeated["lo"])
-    at = np.searchsorted(lo, pairs["lo"])
+    lo, own = np.ascontiguousarray(repeated["lo"]), np.ascontiguousarray(pairs["lo"])
     found = np.zeros(len(pairs), bool)
-    while True:  # as many rounds as windows share their lower 64 bits: one, in practice
+    left = maybe_member(own, lo)
+    at = np.searchsorted(lo, own[left])
+    while len(left):  # as many rounds as windows share their lower 64 bits: one, in practice
         here = at < len(lo)
-        here[here] = lo[at[here]] == pairs["lo"][here]
-        if not here.any():
-            return found
-        found[here] |= repeated["hi"][at[here]] == pairs["hi"][here]
-        at = np.where(here, at + 1, len(lo))
+        here[here] = lo[at[here]] == own[left[here]]
+        left, at = left[here], at[here]
+        found[left] |= repeated["hi"][at] == pairs["hi"][left]
+        at = at + 1
+    return found
 
 
 def _shard_of(table: pa.Table) -> int:
@@ -173,8 +179,8 @@ def _opened(table: pa.Table, dtype: str | np.dtype) -> tuple[np.ndarray, np.ndar
     hashes = np.concatenate(letters)
     if hashes.dtype == _PAIR:
         order = np.lexsort((hashes["hi"], hashes["lo"]))
-        ranked = hashes[order]
-        new = np.concatenate([[False], ranked[1:] != ranked[:-1]])
+        lo, hi = hashes["lo"][order], hashes["hi"][order]
+        new = np.concatenate([[False], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
         which = np.empty(len(hashes), np.int64)
         which[order] = np.cumsum(new)
     else:

@@ -14,25 +14,10 @@ import xxhash
 
 #: Java regular expression of one word.
 WORD = r"[^\x20\x09-\x0D]+"
-#: A worker's dictionary of word hashes is emptied at this size: it only saves time.
-CACHE_ENTRIES = 100_000
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, filled on demand."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_HASHES = WordHashes()
-
-
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The same rows by the few hundred, so that lists made of them stay small beside the batch."""
     for batch in batches:
@@ -47,7 +32,8 @@ def byte_texts(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    """64 bits for each word. A call costs less than finding the word in a dictionary would."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def hash_texts(texts: list[bytes | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -96,8 +82,20 @@ def inside(offsets: np.ndarray, n: int, size: int) -> np.ndarray:
 
 
 def member(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
-    if not len(sorted_set):
-        return np.zeros(len(values), bool)
-    at = np.searchsorted(sorted_set, values)
-    at[at == len(sorted_set)] = 0
-    return sorted_set[at] == values
+    """Which values are in the set; a table of their lowest bits, which must be as good as random, rules most out."""
+    found = np.zeros(len(values), bool)
+    at = maybe_member(values, sorted_set)
+    place = np.searchsorted(sorted_set, values[at])
+    place[place == len(sorted_set)] = 0
+    found[at] = sorted_set[place] == values[at] if len(at) else False
+    return found
+
+
+def maybe_member(values: np.ndarray, members: np.ndarray) -> np.ndarray:
+    """Places of values whose lowest bits are those of a member; no member's place is left out."""
+    if not len(members):
+        return np.zeros(0, np.int64)
+    mask = np.uint64((1 << min(24, len(members).bit_length() + 3)) - 1)
+    table = np.zeros(int(mask) + 1, bool)
+    table[members & mask] = True
+    return np.flatnonzero(table[values & mask])
