@@ -24,6 +24,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.llm.words import WORD
+from almanac.session import shuffle_partitions
+
+
+#: Lists within a row are no longer than this.
+_PAGE = 4096
+#: Into so many parts a source's documents are split when they are joined to what is said of the source.
+_SALTS = 64
 
 
 def word_count(text: str = "text") -> Column:
@@ -92,7 +99,11 @@ def plan_mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float =
     goals = goals.withColumn("n_shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long"))
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))
     goals = goals.drop("seats").withColumnRenamed("quota", "source_quota").withColumn("key", key)
-    dealt = rows.withColumn("key", key).join(goals.drop("source"), "key")
+    # a source's documents meet its goal in several tasks; were they dealt by source alone, so would be all that follows
+    # (never null, or a filter for that would make this another plan than the one below goals, and scan texts again)
+    salt = F.coalesce(F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(_SALTS)).cast("int"), F.lit(0))
+    goals = goals.drop("source").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    dealt = rows.withColumns({"key": key, "salt": salt}).join(goals, ["key", "salt"]).drop("salt")
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_hash"), F.col("n_shards")))
 
     shards = dealt.groupBy("key", "shard", "source_quota").agg(F.sum(F.col("size") * F.col("copies")).alias("shard_size"))
@@ -100,29 +111,31 @@ def plan_mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float =
     shards = shards.withColumn("n_blocks", F.ceil(F.col("shard_size") / block))
     shards = shards.withColumn("quota", F.least("quota", F.col("n_blocks") * epochs)).select("key", "shard", "n_blocks", "quota")
 
+    # in as many parts as stated, as few bytes here become many rows
+    dealt = dealt.repartition(shuffle_partitions(docs.sparkSession), "key", "shard")
     placed = dealt.join(shards, ["key", "shard"])
     within = Window.partitionBy("key", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "text_hash"), F.col("doc_id"), "text_hash", "size")
     placed = placed.withColumn("words", F.col("size") * F.col("copies"))
     placed = placed.withColumn("from", F.sum("words").over(within) - F.col("words"))
     placed = placed.withColumn("full", F.when(F.col("n_blocks") > 0, F.floor(F.col("quota") / F.col("n_blocks"))).otherwise(0))
     placed = placed.withColumn("over", F.when(F.col("n_blocks") > 0, F.col("quota") % F.col("n_blocks")).otherwise(0))
-    last = F.floor((F.col("from") + F.col("words") - 1) / block)
-    blocks = F.when(F.col("words") > 0, F.sequence(F.floor(F.col("from") / block), last)).otherwise(F.array().cast("array<bigint>"))
-    cut = placed.withColumn("block", F.explode_outer(blocks))
+    # a row's blocks are listed by the page, so that no list is as long as a document that is there many times
+    first, last = F.floor(F.col("from") / block), F.floor((F.col("from") + F.col("words") - 1) / block)
+    pages = F.when(F.col("words") > 0, F.sequence(first, last, F.lit(_PAGE).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    cut = placed.withColumn("page", F.explode_outer(pages))
+    in_page = F.when(F.col("page").isNotNull(), F.sequence("page", F.least(last, F.col("page") + (_PAGE - 1)))).otherwise(F.array().cast("array<bigint>"))
+    cut = cut.withColumn("block", F.explode_outer(in_page))
     ranked = Window.partitionBy("key", "shard").orderBy(F.col("block").isNull(), F.xxhash64(F.lit(seed + 2), "key", "shard", "block"), "block")
     begin = F.greatest(F.col("block") * block, F.col("from"))
     end = F.least((F.col("block") + 1) * block, F.col("from") + F.col("words"))
     chosen = F.col("block").isNotNull() & (F.dense_rank().over(ranked) <= F.col("over"))
     cut = cut.withColumn("run", F.when(chosen, F.struct((begin - F.col("from")).alias("start"), (end - F.col("from")).alias("end"))))
     kept = [*same, "key", "shard", "copies", "source_size", "target", "full"]
-    merged = cut.groupBy(*kept).agg(F.sum(F.col("run.end") - F.col("run.start")).alias("extra"), F.sort_array(F.collect_list("run")).alias("all_runs"))
+    merged = cut.groupBy(*kept).agg(F.sum(F.col("run.end") - F.col("run.start")).alias("extra"), F.sort_array(F.collect_list(F.when(F.col("copies") == 1, F.col("run")))).alias("all_runs"))
     merged = merged.withColumn("extra", F.coalesce("extra", F.lit(0)))
     return merged
 
 
-_PAGE = 4096
-
-
 def _own_share(nth: Column) -> Column:
     """Of a plan's extra words, those of its nth copy, from 0."""
     return F.floor(F.col("extra") / F.col("copies")) + (nth < F.col("extra") % F.col("copies")).cast("long")
@@ -146,19 +159,19 @@ def mixed_texts(docs: DataFrame, **settings) -> DataFrame:
     """
     name, source_key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.concat(F.lit("s"), "source"), F.lit(""))
     plans = plan_mix(docs, **settings).where("full > 0 or extra > 0")
-    plans = plans.select(name.alias("_name"), F.col("text_hash").alias("_hash"), source_key.alias("_source"), "copies", "full", "extra", F.col("all_runs").alias("runs"))
-    plans = plans.select("_name", "_hash", "_source", F.struct("copies", "full", "extra", "runs").alias("_plan"))
-    key = ["_name", "_hash", "_source"]
-    joined = docs.withColumns({"_name": name, "_hash": F.xxhash64("text"), "_source": source_key}).join(plans, key)
+    plans = plans.select(name.alias("__almanac_name"), F.col("text_hash").alias("__almanac_hash"), source_key.alias("__almanac_source"), "copies", "full", "extra", F.col("all_runs").alias("runs"))
+    plans = plans.select("__almanac_name", "__almanac_hash", "__almanac_source", F.struct("copies", "full", "extra", "runs").alias("__almanac_plan"))
+    key = ["__almanac_name", "__almanac_hash", "__almanac_source"]
+    joined = docs.withColumns({"__almanac_name": name, "__almanac_hash": F.xxhash64("text"), "__almanac_source": source_key}).join(plans, key)
     nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1))) - 1
-    share = F.floor(F.col("_plan.extra") / F.col("_plan.copies")) + (nth < F.col("_plan.extra") % F.col("_plan.copies")).cast("long")
+    share = F.floor(F.col("__almanac_plan.extra") / F.col("__almanac_plan.copies")) + (nth < F.col("__almanac_plan.extra") % F.col("__almanac_plan.copies")).cast("long")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), share.alias("end")))
-    joined = joined.withColumn("_runs", F.when(F.col("_plan.extra") == 0, F.array().cast("array<struct<start:bigint,end:bigint>>")).when(F.col("_plan.copies") == 1, F.col("_plan.runs")).otherwise(whole))
+    joined = joined.withColumn("__almanac_runs", F.when(F.col("__almanac_plan.extra") == 0, F.array().cast("array<struct<start:bigint,end:bigint>>")).when(F.col("__almanac_plan.copies") == 1, F.col("__almanac_plan.runs")).otherwise(whole))
     words = F.regexp_extract_all(F.col("text"), F.lit(rf"{WORD}[\x20\x09-\x0D]*"), F.lit(0))
-    has_runs = F.exists("_runs", lambda r: r["end"] > r["start"])
-    joined = joined.withColumn("_words", F.when(has_runs, words))
-    cut = F.array_join(F.flatten(F.transform("_runs", lambda r: F.slice("_words", (r["start"] + 1).cast("int"), (r["end"] - r["start"]).cast("int")))), "")
-    texts = F.concat(F.array_repeat("text", F.col("_plan.full").cast("int")), F.when(has_runs, F.array(cut)).otherwise(F.array().cast("array<string>")))
+    has_runs = F.exists("__almanac_runs", lambda r: r["end"] > r["start"])
+    joined = joined.withColumn("__almanac_words", F.when(has_runs, words))
+    cut = F.array_join(F.flatten(F.transform("__almanac_runs", lambda r: F.slice("__almanac_words", (r["start"] + 1).cast("int"), (r["end"] - r["start"]).cast("int")))), "")
+    texts = F.concat(F.array_repeat("text", F.col("__almanac_plan.full").cast("int")), F.when(has_runs, F.array(cut)).otherwise(F.array().cast("array<string>")))
     out = joined.withColumn("text", F.explode(texts))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
