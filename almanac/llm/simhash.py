@@ -214,7 +214,11 @@ def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
     Where rows of different texts share that doc_id, the smaller hash of the text decides; equal rows collapse.
     """
     prints = cut_lineage(fingerprints(docs, shingle))
-    joined = prints.join(classes(prints, max_bits).select("fp", "root"), "fp")
+    return keep_first(docs, prints.join(classes(prints, max_bits).select("fp", "root"), "fp"))
+
+
+def keep_first(docs: DataFrame, joined: DataFrame) -> DataFrame:
+    """The row of ``docs`` that each root of ``joined`` (doc_id, text_hash, root) keeps."""
     best = joined.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("best"))
     chosen = best.select(_name("best.doc_id").alias("__almanac_name"), F.col("best.text_hash").alias("__almanac_hash"))
     keyed = docs.withColumns({"__almanac_name": _name("doc_id"), "__almanac_hash": F.xxhash64("text")})
