@@ -10,7 +10,7 @@ of a path or address; and what the neighbouring words say (credential names, or
 checksums). The forest is trained from labelled findings, at most ``max_findings`` of them, those of the smallest
 hash; without any, from findings drawn by a seeded generator of common formats (``example_findings``).
 
-Defined results: a null or empty text has no candidate. A value that stands in a text several times is one candidate
+Defined results: a null or empty text has no candidate. A word may hold several candidates, all of which count. A value that stands in a text several times is one candidate
 each time. Rows are scanned one by one, repeated or not. A null path says nothing. No rows in, no rows out.
 """
 
@@ -23,7 +23,7 @@ import uuid
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Names that go with credentials, and names of values that look like them and are harmless. Fixed values.
@@ -34,7 +34,12 @@ DICTIONARY = "the and tion ing ment ent for with that this from have was not are
 #: Prefixes that providers give to keys. Fixed values.
 PREFIXES = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_live_[0-9a-zA-Z]{24}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"
 _RUN = r"(?=[A-Za-z0-9+/_=.-]*[0-9])(?=[A-Za-z0-9+/_=.-]*[A-Za-z])[A-Za-z0-9+/_=.-]{14,}"
-_ASSIGNED = rf"(?:{CREDENTIAL})[\"']?[=:][\"']?([^\s\"'=:,;]{{6,}})"
+# an & ends an assigned value where a further ``name=`` follows; elsewhere it may be part of a password
+_AND = r"&(?!(?:amp;)?[\w.\[\]-]{1,64}=)"
+_PART = r"[^\s\"'=:,;&]"
+_VALUE = rf"(?=(?:{_PART}|{_AND}){{6}}){_PART}*+(?:{_AND}{_PART}*+)*+"
+#: The name with its sign, and the value.
+_ASSIGNED = rf"((?:{CREDENTIAL})[\"']?[=:])[\"']?({_VALUE})"
 _ASSIGNS = rf"(?:{CREDENTIAL})[\"']?\s*[=:]+\s*[\"']?$"
 _SPACE = r"[\x20\x09-\x0D]+"
 FEATURES = ("length", "kinds", "transitions", "digit_share", "upper_share", "consonant_runs", "vowel_turns", "distinct_share", "dictionary", "separators", "in_path", "path_harmless", "path_config", "credential_near", "harmless_near", "assigned", "prefixed", "hex_only")
@@ -49,19 +54,24 @@ def candidates(docs: DataFrame, path_col: str | None = None) -> DataFrame:
     numbered = F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("w")))
     near = lambda i: F.trim(F.concat_ws(" ", F.get("words", i - 2), F.get("words", i - 1)))
 
-    def value(w: Column) -> Column:
-        assigned = F.regexp_extract(w, _ASSIGNED, 1)
-        run = F.regexp_extract(w, rf"{PREFIXES}|{_RUN}", 0)
-        plain = F.regexp_replace(w, r"^[\"'(\[{<]+|[\"')\]}>.,;:!?]+$", "")
-        return F.when(assigned != "", assigned).when(run != "", F.regexp_replace(run, r"[.]+$", "")).otherwise(plain)
-
     split = hopeful.select(F.col("doc_id"), path.alias("path"), words.alias("words"), numbered.alias("numbered"))
     # a word counts for itself, or as what follows ``name =``
     is_one = lambda s: s["w"].rlike(rf"{_RUN}|{_ASSIGNED}") | (F.length(s["w"]) >= 6) & near(s["i"]).rlike(_ASSIGNS)
     found = split.select("doc_id", "path", "words", F.explode(F.filter("numbered", is_one)).alias("hit"))
+    every = lambda c, pattern, group=0: F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
     i, w = F.col("hit.i"), F.col("hit.w")
-    at = F.when(F.regexp_extract(w, _ASSIGNED, 1) != "", F.concat_ws(" ", F.get("words", i - 1), F.regexp_extract(w, rf"({CREDENTIAL})[\"']?[=:]", 0))).otherwise(near(i))
-    return found.select("doc_id", "path", at.alias("before"), value(w).alias("value"), F.coalesce(F.get("words", i + 1), F.lit("")).alias("after"), i.alias("place")).where(F.length("value") >= 6)
+    # a word can hold several: all that are assigned in it, then all that stand alone in what is left
+    found = found.withColumns({"names": every(w, _ASSIGNED, 1), "assigned": every(w, _ASSIGNED, 2), "rest": F.regexp_replace(w, _ASSIGNED, " "), "near": near(i)})
+    found = found.withColumn("alone", F.transform(every("rest", rf"{PREFIXES}|{_RUN}"), lambda r: F.regexp_replace(r, r"[.]+$", "")))
+    # what follows ``name =`` is the whole word, or in a word with others what it begins with
+    plain = F.regexp_replace(w, r"^[\"'(\[{<]+|[\"')\]}>.,;:!?]+$", "")
+    lead = F.regexp_extract("rest", rf"^[\"'(\[{{<]*({_VALUE})", 1)
+    known = F.exists("alone", lambda r: F.contains(lead, r) | F.contains(r, lead))
+    follows = F.when((F.size("assigned") == 0) & (F.size("alone") == 0), F.array(plain)).when(F.col("near").rlike(_ASSIGNS) & (lead != "") & ~known, F.array(lead)).otherwise(F.array().cast("array<string>"))
+    near_ones = F.transform(F.concat(follows, "alone"), lambda v: F.struct(F.col("near").alias("before"), v.alias("value")))
+    assigned = F.zip_with("names", "assigned", lambda n, v: F.struct(F.concat_ws(" ", F.get("words", i - 1), n).alias("before"), v.alias("value")))
+    found = found.select("doc_id", "path", F.explode(F.concat(assigned, near_ones)).alias("one"), F.coalesce(F.get("words", i + 1), F.lit("")).alias("after"), i.alias("place"))
+    return found.select("doc_id", "path", "one.before", "one.value", "after", "place").where(F.length("value") >= 6)
 
 
 def with_features(found: DataFrame) -> DataFrame:

@@ -1,0 +1,41 @@
+from collections import Counter
+
+import pytest
+
+from almanac.llm import secrets
+
+HEX, KEY = "f33e61083db5dbdf4bd2369d2f80176e57f7fda2", "AKIASJDZWJNP6ZRYWK4"
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    return secrets.train(spark)
+
+
+def values_of(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = secrets.candidates(docs).collect()
+    return [Counter(r.value for r in found if r.doc_id == i) for i in range(len(texts))]
+
+
+def test_all_values_of_a_word(spark):
+    found = values_of(spark, [
+        f'{{"password":"hunter2abc9","token":"{HEX}"}}', f"api_key={KEY}4&secret=b7db7aa4a5fcc78305", f"{KEY}4,{KEY}5", f"{KEY}4,{KEY}4",
+        f'{{"password": "hunter2abc9","token":"{HEX}"}}', "password=ab&cd!ef12 x", f"x1,password=b7db7aa4a5fcc78305&amp;token={HEX}", f'token="{HEX}";id={KEY}4',
+    ])
+    assert found[0] == found[4] == Counter(["hunter2abc9", HEX])
+    assert found[1] == Counter([KEY + "4", "b7db7aa4a5fcc78305"])
+    assert found[2] == Counter([KEY + "4", KEY + "5"]) and found[3] == Counter({KEY + "4": 2})
+    assert found[5] == Counter(["ab&cd!ef12"])
+    assert set(found[6]) == {"b7db7aa4a5fcc78305", HEX}
+    assert HEX in found[7] and any(KEY + "4" in v for v in found[7])
+
+
+def test_all_are_masked(spark, model):
+    docs = spark.createDataFrame([(1, f"it was {KEY}4,{KEY}5 then"), (2, f"curl api_key={KEY}4&secret=b7db7aa4a5fcc78305 now")], "doc_id long, text string")
+    out = {r.doc_id: r.text for r in secrets.masked(docs, model).collect()}
+    assert out == {1: "it was [SECRET],[SECRET] then", 2: "curl api_key=[SECRET]&secret=[SECRET] now"}
+
+
+def test_a_long_word_is_no_fault(spark):
+    assert values_of(spark, ["password=" + "aB1&" * 100_000])[0].total() == 1
