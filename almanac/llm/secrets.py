@@ -33,6 +33,8 @@ HARMLESS = r"(?i)commit|sha-?(?:1|256|512)?\b|md5|checksum|digest|etag|uuid|guid
 DICTIONARY = "the and tion ing ment ent for with that this from have was not are all can has new data file test user name value key example system report version page index image list item number group order state open close read write time date year house world water light".split()
 #: Prefixes that providers give to keys. Fixed values.
 PREFIXES = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_live_[0-9a-zA-Z]{24}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"
+# one that is no part of a longer word
+_PREFIXED = rf"(?<![A-Za-z0-9])(?:{PREFIXES})(?![A-Za-z0-9])"
 _RUN = r"(?=[A-Za-z0-9+/_=.-]*[0-9])(?=[A-Za-z0-9+/_=.-]*[A-Za-z])[A-Za-z0-9+/_=.-]{14,}"
 # an & ends an assigned value where a further ``name=`` follows; elsewhere it may be part of a password
 _AND = r"&(?!(?:amp;)?[\w.\[\]-]{1,64}=)"
@@ -49,20 +51,21 @@ def candidates(docs: DataFrame, path_col: str | None = None) -> DataFrame:
     """All columns of ``docs`` but text and clashing ones as ``row``, and value, before, after and path of each candidate."""
     path = F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")
     # which texts hold any at all is asked first, over the text as it stands
-    hopeful = docs.where(F.col("text").rlike(rf"{_RUN}|{_ASSIGNED}|(?:{CREDENTIAL})[\"']?\s*[=:]"))
+    hopeful = docs.where(F.col("text").rlike(rf"{_RUN}|{_PREFIXED}|{_ASSIGNED}|(?:{CREDENTIAL})[\"']?\s*[=:]"))
     words = F.split("text", _SPACE)
     numbered = F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("w")))
     near = lambda i: F.trim(F.concat_ws(" ", F.get("words", i - 2), F.get("words", i - 1)))
 
     split = hopeful.select(F.col("doc_id"), path.alias("path"), words.alias("words"), numbered.alias("numbered"))
     # a word counts for itself, or as what follows ``name =``
-    is_one = lambda s: s["w"].rlike(rf"{_RUN}|{_ASSIGNED}") | (F.length(s["w"]) >= 6) & near(s["i"]).rlike(_ASSIGNS)
+    is_one = lambda s: s["w"].rlike(rf"{_RUN}|{_PREFIXED}|{_ASSIGNED}") | (F.length(s["w"]) >= 6) & near(s["i"]).rlike(_ASSIGNS)
     found = split.select("doc_id", "path", "words", F.explode(F.filter("numbered", is_one)).alias("hit"))
     every = lambda c, pattern, group=0: F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
     i, w = F.col("hit.i"), F.col("hit.w")
-    # a word can hold several: all that are assigned in it, then all that stand alone in what is left
+    # a word can hold several: all that are assigned in it, then all that stand alone in what is left, prefixed ones first
     found = found.withColumns({"names": every(w, _ASSIGNED, 1), "assigned": every(w, _ASSIGNED, 2), "rest": F.regexp_replace(w, _ASSIGNED, " "), "near": near(i)})
-    found = found.withColumn("alone", F.transform(every("rest", rf"{PREFIXES}|{_RUN}"), lambda r: F.regexp_replace(r, r"[.]+$", "")))
+    runs = F.transform(every(F.regexp_replace("rest", _PREFIXED, " "), rf"{PREFIXES}|{_RUN}"), lambda r: F.regexp_replace(r, r"[.]+$", ""))
+    found = found.withColumn("alone", F.concat(every("rest", _PREFIXED), runs))
     # what follows ``name =`` is the whole word, or in a word with others what it begins with
     plain = F.regexp_replace(w, r"^[\"'(\[{<]+|[\"')\]}>.,;:!?]+$", "")
     lead = F.regexp_extract("rest", rf"^[\"'(\[{{<]*({_VALUE})", 1)
