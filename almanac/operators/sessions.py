@@ -45,10 +45,11 @@ def thread_roots(messages: DataFrame, key: str, parent: str) -> DataFrame:
     return messages.join(known, messages[parent] == known["_known"], "left_anti")
 
 
-def thread_closure(messages: DataFrame, key: str, parent: str, max_depth: int = 64) -> DataFrame:
+def thread_closure(messages: DataFrame, key: str, parent: str) -> DataFrame:
     """key, root and depth: each message with the root of its thread, by pointer jumping.
 
-    After n rounds paths of 2^n answers are resolved; rounds end when none is left or ``max_depth`` is covered.
+    After n rounds paths of 2^n answers are resolved. As long as a path is open each round resolves some, so rounds end
+    when none is left or no fewer are. These answer in a circle: their root is its smallest key, their depth null.
     """
     from almanac.session import cut_lineage
 
@@ -56,15 +57,24 @@ def thread_closure(messages: DataFrame, key: str, parent: str, max_depth: int =
     there = known.select(F.col("node").alias("up"))
     inner = known.join(there, "up", "left_semi").select("node", "up", F.lit(1).cast("long").alias("depth"))
     tops = known.join(there, "up", "left_anti").select("node", F.col("node").alias("up"), F.lit(0).cast("long").alias("depth"))
-    state = tops.unionByName(inner)
-    covered = 1
-    while covered < max_depth:
+    state, top, before = tops.unionByName(inner), tops.select(F.col("node").alias("up")), None
+    while True:
+        open_ = state.join(top, "up", "left_anti").agg(F.count_distinct("node")).first()[0]
+        if open_ in (0, before):
+            break
+        before = open_
         above = state.select(F.col("node").alias("up"), F.col("up").alias("_top"), F.col("depth").alias("_more"))
         state = cut_lineage(state.join(above, "up").select("node", F.col("_top").alias("up"), (F.col("depth") + F.col("_more")).alias("depth")))
-        covered *= 2
-        open_ = state.join(tops.select(F.col("node").alias("up")), "up", "left_anti").limit(1).count()
-        if not open_:
-            break
+    if open_:
+        ring = known.join(state.join(top, "up", "left_anti").select("node").distinct(), "node", "left_semi").select("node", "up", F.col("node").alias("least"))
+        covered = 1
+        while covered < open_:
+            above = ring.select(F.col("node").alias("up"), F.col("up").alias("_up"), F.col("least").alias("_least"))
+            ring = cut_lineage(ring.join(above, "up").select("node", F.col("_up").alias("up"), F.least("least", "_least").alias("least")))
+            covered *= 2
+        # so far up, each has come to its circle
+        circles = ring.select("node", "up").join(ring.select(F.col("node").alias("up"), "least"), "up").select("node", F.col("least").alias("up"), F.lit(None).cast("long").alias("depth"))
+        state = state.join(top, "up", "left_semi").select("node", "up", "depth").unionByName(circles)
     return state.select(F.col("node").alias(key), F.col("up").alias("root"), "depth")
 
 
