@@ -6,8 +6,8 @@ text's lines, and the share of its words that stand in content lines decides whe
 
 The field is trained from labelled documents: lines of good documents are content, lines of bad ones boilerplate to
 begin with, and where the lines of bad documents look like those of good ones training leaves them content. At most
-``train_docs`` labelled documents of each class, those of the smallest hash of their id, are used, and of a document
-at most ``_TRAIN_LINES`` lines; only a bit mask for each line goes to the driver. Documents are decoded whole.
+``train_docs`` labelled documents of each class, those of the smallest hash of their id, are used, each with all its
+lines; only a bit mask for each line goes to the driver. Training runs to convergence. Documents are decoded whole.
 
 Defined results: a null or empty text has no words and no lines, zero in all counts, and fails the base rules. A text
 without a word has content share 0. Without labels of both classes the field is flat and each line is content. Rows
@@ -32,7 +32,6 @@ _UPPER, _LOWER, _DIGITS = bytes(range(65, 91)), bytes(range(97, 123)), b"0123456
 _CONTINUATION = bytes(range(0x80, 0xC0))
 #: What a line can look like, one bit each.
 FEATURES = ("always", "blank", "earlier_line", "up_to_3_words", "over_40_words", "symbols_over_5%", "symbols_over_15%", "upper_over_half", "digits_over_20%", "many_bars", "ends_sentence", "begins_upper", "long_words", "few_distinct_words", "exclamations", "web_address")
-_TRAIN_LINES = 64
 CONTENT, BOILERPLATE = 0, 1
 
 
@@ -118,51 +117,75 @@ def _bits(masks: np.ndarray) -> np.ndarray:
     return (masks[:, None] >> np.arange(len(FEATURES)) & 1).astype(np.float64)
 
 
-def fit_field(sequences: list[np.ndarray], labels: list[int], rounds: int = 80, step: float = 0.8, ridge: float = 1e-3) -> LineField:
-    """Maximise the penalised likelihood of the labelled lines by gradient ascent, all sequences side by side.
+def fit_field(sequences: list[np.ndarray], labels: list[int], ridge: float = 1e-3, near: float = 1e-4) -> LineField:
+    """Maximise the penalised likelihood of the labelled lines, all sequences side by side, until no slope is over ``near``.
 
     Both classes of document weigh the same, so that rare bad documents count.
     """
     if len(set(labels)) < 2:
         return LineField.flat()
-    width, n = max(map(len, sequences)), len(sequences)
-    masks, there = np.zeros((n, width), np.int32), np.zeros((n, width), bool)
-    for i, s in enumerate(sequences):
-        masks[i, : len(s)], there[i, : len(s)] = s, True
-    y = np.repeat(np.array(labels)[:, None], width, 1)
-    lines = np.array([there[np.array(labels) == c].sum() for c in (0, 1)])
-    weigh = (there.sum() / (2 * lines))[np.array(labels)]
+    # the first lines of all sequences, longest sequence first, then the second lines of those that have one, and so on
+    order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
+    lengths = np.array([len(sequences[i]) for i in order])
+    active = len(lengths) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), side="right")
+    begin = np.concatenate([[0], np.cumsum(active)])
+    masks, rank = np.empty(begin[-1], np.int32), np.empty(begin[-1], np.int64)
+    for r, i in enumerate(order):
+        masks[begin[: lengths[r]] + r], rank[begin[: lengths[r]] + r] = sequences[i], r
+    marks = np.array(labels)[order]
+    lines = np.array([lengths[marks == c].sum() for c in (0, 1)])
+    weigh = (lines.sum() / (2 * lines))[marks]
     distinct, which = np.unique(masks, return_inverse=True)
-    features, which = _bits(distinct), which.reshape(masks.shape)
-    gold = np.stack([np.where(there & (y == c), weigh[:, None], 0) for c in (0, 1)], 2)
-    gold_moves = np.zeros((2, 2))
-    for c in (0, 1):
-        gold_moves[c, c] = (weigh[:, None] * (there[:, 1:] & (y[:, 1:] == c))).sum()
-    total = gold.sum()
-    field = LineField(np.zeros((2, len(FEATURES))), np.zeros((2, 2)))
-    for _ in range(rounds):
-        emit = np.exp((features @ field.weights.T)[which]) * there[..., None] + ~there[..., None]
-        move = np.exp(field.moves)
-        forward = np.empty((n, width, 2))
-        forward[:, 0] = emit[:, 0] / emit[:, 0].sum(1, keepdims=True)
-        for t in range(1, width):
-            a = np.where(there[:, t, None], (forward[:, t - 1] @ move) * emit[:, t], forward[:, t - 1])
-            forward[:, t] = a / a.sum(1, keepdims=True)
-        backward = np.ones((n, 2))
-        expected, moves = np.zeros((n, width, 2)), np.zeros((2, 2))
-        for t in range(width - 1, -1, -1):
-            p = forward[:, t] * backward
-            expected[:, t] = p / p.sum(1, keepdims=True) * there[:, t, None] * weigh[:, None]
-            if t:
-                pair = forward[:, t - 1, :, None] * move * (emit[:, t] * backward)[:, None, :]
-                moves += (pair / pair.sum((1, 2), keepdims=True) * (there[:, t] * weigh)[:, None, None]).sum(0)
-                b = np.where(there[:, t, None], (emit[:, t] * backward) @ move.T, backward)
-                backward = b / b.sum(1, keepdims=True)
-        left = gold - expected
-        slope = np.stack([np.bincount(which.ravel(), left[..., c].ravel(), len(distinct)) @ features for c in (0, 1)])
-        field.weights += step * (slope / total * 10 - ridge * field.weights)
-        field.moves += step * ((gold_moves - moves) / total * 10 - ridge * field.moves)
-    return field
+    features, y, weight = _bits(distinct), marks[rank], weigh[rank]
+    gold = np.where(y[:, None] == np.arange(2), weight[:, None], 0)
+    gold_moves = np.diag([(weigh * (lengths - 1))[marks == c].sum() for c in (0, 1)])
+    total, split = weight.sum(), 2 * len(FEATURES)
+    part = [slice(begin[t], begin[t + 1]) for t in range(len(active))]
+    came = [slice(begin[t - 1], begin[t - 1] + active[t]) for t in range(len(active))]
+
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        weights, moves = x[:split].reshape(2, -1), x[split:].reshape(2, 2)
+        scores = (features @ weights.T)[which]
+        top, high = scores.max(1, keepdims=True), moves.max()
+        emit, move = np.exp(scores - top), np.exp(moves - high)
+        forward, scale = np.empty_like(emit), np.empty(len(emit))
+        for t, at in enumerate(part):
+            a = (forward[came[t]] @ move) * emit[at] if t else emit[at]
+            scale[at] = a.sum(1)
+            forward[at] = a / scale[at, None]
+        backward = np.ones_like(emit)
+        expected_moves = np.zeros((2, 2))
+        for t in range(len(part) - 1, 0, -1):
+            ahead = emit[part[t]] * backward[part[t]]
+            back = ahead @ move.T
+            sums = (forward[came[t]] * back).sum(1)
+            expected_moves += (forward[came[t]] * (weight[part[t]] / sums)[:, None]).T @ ahead * move
+            backward[came[t]] = back / back.sum(1, keepdims=True)
+        p = forward * backward
+        left = gold - p / p.sum(1, keepdims=True) * weight[:, None]
+        steps = weight[active[0] :].sum()
+        likelihood = (gold * (scores - top)).sum() - weight @ np.log(scale) + (gold_moves * moves).sum() - high * steps
+        slope = np.stack([np.bincount(which, left[:, c], len(distinct)) @ features for c in (0, 1)])
+        slopes = np.concatenate([slope.ravel(), (gold_moves - expected_moves).ravel()])
+        return ridge / 2 * x @ x - 10 * likelihood / total, ridge * x - 10 * slopes / total
+
+    # BFGS: the loss is convex and has few parameters
+    x, inverse = np.zeros(split + 4), np.eye(split + 4)
+    value, slope = loss(x)
+    while np.abs(slope).max() > near:
+        way, step = -inverse @ slope, 1.0
+        if way @ slope >= 0:
+            inverse, way = np.eye(len(x)), -slope
+        while (new := loss(x + step * way))[0] > value + 1e-4 * step * (way @ slope) and step > 1e-12:
+            step /= 2
+        if step <= 1e-12:  # no better value can be told from this one
+            break
+        s, d = step * way, new[1] - slope
+        x, value, slope = x + s, *new
+        if (sd := s @ d) > 0:
+            turn = np.eye(len(x)) - np.outer(s, d) / sd
+            inverse = turn @ inverse @ turn.T + np.outer(s, s) / sd
+    return LineField(x[:split].reshape(2, -1), x[split:].reshape(2, 2))
 
 
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = 1500) -> LineField:
@@ -180,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = 1500) -> LineFie
 
     def masks(batches):
         for batch in slices(batches):
-            found = [line_masks(t)[0][:_TRAIN_LINES].tobytes() for t in byte_texts(batch.column("text"))]
+            found = [line_masks(t)[0].tobytes() for t in byte_texts(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(found, pa.binary())], ["doc_id", "quality", "masks"])
 
     seen = sorted({(r.doc_id, r.quality, bytes(r.masks)) for r in rows.mapInArrow(masks, "doc_id long, quality int, masks binary").collect()})
