@@ -29,8 +29,6 @@ from almanac.session import shuffle_partitions
 
 #: Lists within a row are no longer than this.
 _PAGE = 4096
-#: Into so many parts a source's documents are split when they are joined to what is said of the source.
-_SALTS = 64
 
 
 def word_count(text: str = "text") -> Column:
@@ -63,16 +61,18 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float =
 def apportion(parties: DataFrame, group: Sequence[str], seats: str, claim: str, order: Sequence[str]) -> DataFrame:
     """``parties`` with quota: the ``seats`` of a group dealt to its parties by Sainte-Laguë on ``claim``, ties by order.
 
-    With claims rounded at the divisor sum(claim) / seats, half a seat for each party remains to give or take at most.
+    Claims are first rounded at the multiplier x = seats / sum(claim). With n claims above zero the multiplier that deals
+    all seats lies within n / 2 / sum(claim) of x, as each rounding is off by half a seat at most, so a party gains or
+    loses no more than claim * n / 2 / sum(claim) + 1 seats. So many moves of each party are listed, which are fewer than
+    3 n in all, and the best of them by quotient are made: the result is that of highest quotients, whatever the claims.
     """
     whole = Window.partitionBy(*group)
     total = F.sum(claim).over(whole)
     rounded = F.when(total > 0, F.floor(F.col(claim) * F.col(seats) / total + 0.5)).otherwise(0).cast("long")
-    first = parties.withColumn("_total", total).withColumn("_first", rounded)
+    first = parties.withColumns({"_total": total, "_claims": F.sum((F.col(claim) > 0).cast("long")).over(whole)}).withColumn("_first", rounded)
     first = first.withColumn("_left", F.col(seats) - F.sum("_first").over(whole))
     first = first.withColumn("_turn", F.row_number().over(whole.orderBy(*order)))
-    # a party can win (or lose) its share of what is left, and a seat by rounding at either end
-    room = F.least(F.abs("_left"), F.ceil(F.abs("_left") * F.col(claim) / F.col("_total")) + 2).cast("int")
+    room = F.least(F.abs("_left"), F.ceil(F.col("_claims") * F.col(claim) / (2 * F.col("_total"))) + 2).cast("int")  # one more, for doubles
     moves = F.when((F.col("_total") > 0) & (F.col(claim) > 0) & (room > 0), F.sequence(F.lit(1), room)).otherwise(F.array().cast("array<int>"))
     many = first.withColumn("_move", F.explode_outer(moves))
     gained = F.col(claim) / (2 * (F.col("_first") + F.col("_move")) - 1)
@@ -101,8 +101,9 @@ def plan_mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float =
     goals = goals.drop("seats").withColumnRenamed("quota", "source_quota").withColumn("key", key)
     # a source's documents meet its goal in several tasks; were they dealt by source alone, so would be all that follows
     # (never null, or a filter for that would make this another plan than the one below goals, and scan texts again)
-    salt = F.coalesce(F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(_SALTS)).cast("int"), F.lit(0))
-    goals = goals.drop("source").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    salts = shuffle_partitions(docs.sparkSession)
+    salt = F.coalesce(F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(salts)).cast("int"), F.lit(0))
+    goals = goals.drop("source").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     dealt = rows.withColumns({"key": key, "salt": salt}).join(goals, ["key", "salt"]).drop("salt")
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_hash"), F.col("n_shards")))
 

@@ -1,3 +1,5 @@
+import heapq
+import random
 import re
 from collections import defaultdict
 
@@ -69,6 +71,31 @@ def test_seats_are_those_of_the_highest_quotients(spark):
         assert [r.quota for r in sorted(found) if r.g == g] == expected
 
 
+def highest_quotients(own, seats):
+    heap = [(-c, i, 0) for i, c in enumerate(own) if c > 0]
+    heapq.heapify(heap)
+    got = [0] * len(own)
+    for _ in range(seats if heap else 0):
+        _, i, k = heapq.heappop(heap)
+        got[i] += 1
+        heapq.heappush(heap, (-own[i] / (2 * k + 3), i, k + 1))
+    return got
+
+
+def test_seats_of_skewed_claims(spark):
+    rng = random.Random(8)
+    cases = [([20_000] + [6] * 200, 2120), ([3010] + [3] * 1000, 6020), ([5] * 40 + [1], 7), ([1] * 300, 100), ([1] * 300, 200), ([0, 0, 4], 9)]
+    for _ in range(1000):
+        own = [int(rng.paretovariate(rng.choice((0.4, 1, 3)))) % 100_000 for _ in range(rng.randint(1, 40))] + [rng.choice((0, 1, 2, 3))] * rng.choice((0, 0, 5, 60))
+        cases.append((own, rng.randint(0, 400)))
+    rows = [(g, i, c, seats) for g, (own, seats) in enumerate(cases) for i, c in enumerate(own)]
+    got = defaultdict(dict)
+    for r in mixing.apportion(spark.createDataFrame(rows, "g long, i long, c long, seats long"), ["g"], "seats", "c", ["i"]).collect():
+        got[r.g][r.i] = r.quota
+    for g, (own, seats) in enumerate(cases):
+        assert [got[g][i] for i in range(len(own))] == highest_quotients(own, seats), (own, seats)
+
+
 def test_awkward_rows(spark, awkward):
     docs = awkward.withColumn("source", F.expr("case when doc_id % 3 = 0 then null when doc_id % 3 = 1 then '' else 's' end"))
     found = mixing.mix(docs, block=2).collect()
