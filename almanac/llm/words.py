@@ -11,6 +11,9 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Java regular expression of one word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -31,6 +34,90 @@ def byte_texts(column: pa.ChunkedArray | pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if wide else pa.binary()).to_pylist()
 
 
+def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
+    """How many bytes all texts have."""
+    return docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
+
+
+#: Rows are packed when so many bytes of them have been read.
+_PACK_BYTES = 1 << 26
+
+
+def packs(rows: DataFrame, shard: Column) -> DataFrame:
+    """shard and pack: ``rows`` by shard, as compressed Arrow data, so that texts are shuffled at a third of their size.
+
+    Which shard a row falls into depends on the row alone, so a task that runs again says the same.
+    """
+    names = rows.columns
+
+    def pack(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        number = table["__almanac_shard"].to_numpy()
+        order = np.argsort(number, kind="stable")
+        table, number = table.select(names).take(pa.array(order)).combine_chunks(), number[order]
+        edges = np.flatnonzero(np.diff(number, prepend=-1))
+        for a, b in zip(edges, np.append(edges[1:], len(number))):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(table.slice(a, b - a))
+            yield pa.RecordBatch.from_arrays([pa.array([number[a]], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["shard", "pack"])
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size >= _PACK_BYTES:
+                yield from pack(pa.Table.from_batches(held))
+                held, size = [], 0
+        if held:
+            yield from pack(pa.Table.from_batches(held))
+
+    return rows.withColumn("__almanac_shard", shard.cast("int")).mapInArrow(deal, "shard int, pack binary")
+
+
+def unpacked(column: pa.ChunkedArray) -> pa.Table:
+    """The rows of a column of packs, of which there is at least one."""
+    return pa.concat_tables(pa.ipc.open_stream(x).read_all() for x in column.to_pylist())
+
+
+def squeeze(values: np.ndarray) -> bytes:
+    """Unsigned numbers, most of them small, compressed byte by byte of the numbers."""
+    planes = values.view(np.uint8).reshape(-1, values.itemsize).T
+    return zstandard.compress(planes.tobytes(), 1)
+
+
+def stretched(data: bytes, dtype: str) -> np.ndarray:
+    """What ``squeeze`` was given."""
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(size, -1).T).view(dtype).ravel()
+
+
+def numbered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes in order, which of them stands at each place, and where each first does.
+
+    One sort of the hashes' upper bits, with the place in the lower ones, does the work of three; hashes of the same
+    upper bits are few, and are put in order afterwards.
+    """
+    n = len(hashes)
+    if not n:
+        return hashes, np.zeros(0, np.int32), np.zeros(0, np.int64)
+    low = np.uint64(max(1, (n - 1).bit_length()))
+    mask = (np.uint64(1) << low) - np.uint64(1)
+    keys = np.sort(hashes & ~mask | np.arange(n, dtype=np.uint64))
+    at, top = (keys & mask).astype(np.int64), keys >> low
+    found = hashes[at]
+    mixed = (top[1:] == top[:-1]) & (found[1:] != found[:-1])
+    if mixed.any():
+        some = np.flatnonzero(np.isin(top, top[1:][mixed]))
+        at[some] = at[some][np.lexsort((at[some], found[some], top[some]))]
+        found = hashes[at]
+    new = np.concatenate([[True], found[1:] != found[:-1]])
+    which = np.empty(n, np.int32)
+    which[at] = np.cumsum(new, dtype=np.int32) - 1
+    return found[new], which, at[new]
+
+
 def hash_words(words: list[bytes]) -> np.ndarray:
     """64 bits for each word. A call costs less than finding the word in a dictionary would."""
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))

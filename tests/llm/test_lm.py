@@ -32,7 +32,7 @@ def hold(found, rows, held, order):
 
 
 def test_query_equals_brute_force(spark, sf, documents):
-    hold(queries.op10_lm_scoring(spark, sf).collect(), [tuple(r) for r in documents], is_held_out, 2)
+    hold(queries.op10_lm_scoring(spark, sf).collect(), [tuple(r) for r in documents], is_held_out, 3)
 
 
 def test_held_out_texts_are_likelier_than_by_the_base(spark):
@@ -44,7 +44,9 @@ def test_awkward_rows(spark, awkward):
     rows = [(r.doc_id, r.text) for r in awkward.collect()]
     for order in (1, 2, 3, 4):
         hold(lm.score_texts(awkward, F.col("doc_id") % 4 == 1, order).collect(), rows, lambda i: i is not None and i % 4 == 1, order)
-    hold(lm.score_texts(awkward, F.lit(True)).collect(), rows, lambda i: True, 2)
+    hold(lm.score_texts(awkward, F.lit(True)).collect(), rows, lambda i: True, 3)
+    # many shards, few bits: n-grams go to many owners
+    hold(lm.score_texts(awkward, F.col("doc_id") % 4 == 1, 3, shard_bytes=2000, owner_bytes=3000).collect(), rows, lambda i: i is not None and i % 4 == 1, 3)
     assert lm.score_texts(awkward.limit(0), F.lit(False)).count() == 0
 
 
@@ -53,3 +55,17 @@ def test_a_distribution():
     words = [w for w, in (g for g in model.counts if len(g) == 1) if w is not lm.BEGIN and w != lm.BEGIN] + ["never seen"]
     for history in [(), (b"a",), (lm.BEGIN,), (b"b", b"a"), (lm.BEGIN, b"b")]:
         assert sum(model.probability(history, w) for w in words) == pytest.approx(1)
+
+
+def test_stretches_read_as_whole_texts_do(monkeypatch):
+    texts = [b"a b c a b d a b c " * 30, None, b"c c c", b"a b", b"x y z a b c d e f g"]
+    held = lm.Streams(texts, 3)
+    counts = [lm.np.bincount(w[w >= 0], minlength=len(d)) for d, w in zip(held.distinct, held.which)]
+    continued = [lm.np.bincount(held.history(n), minlength=len(held.distinct[n - 2])) for n in (2, 3)] + [0 * counts[2]]
+    model = lm.Automaton([t and t.decode() for t in texts], 3)
+    discounts = [model.discounts[2], model.discounts[3]]
+    for lanes in (1, 3, 7, 50, 4096):
+        monkeypatch.setattr(lm, "_LANES", lanes)
+        passed = lm.Traversal(held, counts, continued, model.tokens, model.types, discounts).read()
+        sums = lm.np.bincount(held.doc[held.place > 0], passed[held.place > 0], len(texts))
+        assert sums == pytest.approx([model.score(t and t.decode()) for t in texts])
