@@ -4,10 +4,13 @@ Each line of a text is content or boilerplate. A linear-chain conditional random
 line looks like (binary features) and by which label follows which; Viterbi decoding finds the best labelling of a
 text's lines, and the share of its words that stand in content lines decides whether the text is kept.
 
-The field is trained from labelled documents: lines of good documents are content, lines of bad ones boilerplate to
-begin with, and where the lines of bad documents look like those of good ones training leaves them content. At most
-``train_docs`` labelled documents of each class, those of the smallest hash of their id, are used, each with all its
-lines; only a bit mask for each line goes to the driver. Training runs to convergence. Documents are decoded whole.
+The field is trained from labelled documents, whose labels say nothing of single lines, so evidence from within the
+documents does (``line_labels``): how much commoner a line's look is in bad documents than in good ones, and whether
+the line is known from many places with different neighbours (``known_lines``), as headers, licences and menus are and
+the lines of copied documents aren't. A bad document's ordinary lines are content and a good one's menu is boilerplate, so labels
+change within documents and the moves between labels are learned from such changes. At most ``train_docs`` labelled
+documents of each class, those of the smallest hash of their id, are used, each with all its lines; a bit mask and a
+hash for each line go to the driver. Training runs to convergence. Documents are decoded whole.
 
 Defined results: a null or empty text has no words and no lines, zero in all counts, and fails the base rules. A text
 without a word has content share 0. Without labels of both classes the field is flat and each line is content. Rows
@@ -20,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,11 +35,20 @@ _LETTERS = bytes(range(65, 91)) + bytes(range(97, 123))
 _UPPER, _LOWER, _DIGITS = bytes(range(65, 91)), bytes(range(97, 123)), b"0123456789"
 _CONTINUATION = bytes(range(0x80, 0xC0))
 #: What a line can look like, one bit each.
-FEATURES = ("always", "blank", "earlier_line", "up_to_3_words", "over_40_words", "symbols_over_5%", "symbols_over_15%", "upper_over_half", "digits_over_20%", "many_bars", "ends_sentence", "begins_upper", "long_words", "few_distinct_words", "exclamations", "web_address")
+FEATURES = ("always", "blank", "earlier_line", "up_to_3_words", "over_40_words", "symbols_over_5%", "symbols_over_15%", "upper_over_half", "digits_over_20%", "many_bars", "ends_sentence", "begins_upper", "long_words", "few_distinct_words", "exclamations", "web_address", "known_line")
 CONTENT, BOILERPLATE = 0, 1
+_KNOWN = 1 << FEATURES.index("known_line")
+#: A look is boilerplate where it is so many times as frequent in bad documents: in these, and in good ones.
+_ODDS = {BOILERPLATE: 3.0, CONTENT: 6.0}
+#: A line that stands between so many different pairs of neighbours is known as boilerplate.
+_CONTEXTS = 3
 
 
-def line_masks(text: bytes) -> tuple[np.ndarray, np.ndarray, int]:
+def line_hash(line: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(line.strip())
+
+
+def line_masks(text: bytes, known: frozenset[int] = frozenset()) -> tuple[np.ndarray, np.ndarray, int]:
     """A feature mask and the number of words for each line, and how many lines with a word equal an earlier one."""
     masks, sizes, seen, repeated = [], [], set(), 0
     for line in text.split(b"\n"):
@@ -53,7 +66,7 @@ def line_masks(text: bytes) -> tuple[np.ndarray, np.ndarray, int]:
         digits = size - len(chars.translate(None, _DIGITS)) if chars else 0
         said = (
             True, not n, again, 0 < n <= 3, n > 40, 20 * symbols > size, 100 * symbols > 15 * size, 2 * upper > letters > 0, 5 * digits > size, 10 * line.count(b"|") > n > 0,
-            chars.endswith((b".", b"?", b"!", b'"')), chars[:1].isupper(), n > 0 and size > 12 * n, n >= 8 and 2 * len(set(words)) < n, 4 * line.count(b"!") > n > 0, b"://" in line or b"www." in line,
+            chars.endswith((b".", b"?", b"!", b'"')), chars[:1].isupper(), n > 0 and size > 12 * n, n >= 8 and 3 * len(set(words)) < n, 4 * line.count(b"!") > n > 0, b"://" in line or b"www." in line, bool(known) and n > 0 and line_hash(line) in known,
         )
         masks.append(sum(1 << i for i, x in enumerate(said) if x))
         sizes.append(n)
@@ -82,6 +95,7 @@ class LineField:
 
     weights: np.ndarray  # label x feature
     moves: np.ndarray  # label x next label
+    known: frozenset[int] = frozenset()  # hashes of lines that stand in many places
 
     @staticmethod
     def flat() -> LineField:
@@ -117,28 +131,55 @@ def _bits(masks: np.ndarray) -> np.ndarray:
     return (masks[:, None] >> np.arange(len(FEATURES)) & 1).astype(np.float64)
 
 
-def fit_field(sequences: list[np.ndarray], labels: list[int], ridge: float = 1e-3, near: float = 1e-4) -> LineField:
+def known_lines(lines: list[np.ndarray]) -> frozenset[int]:
+    """Of documents' hashes of lines those that stand between many different neighbours."""
+    around: dict[int, set[tuple]] = {}
+    for own in lines:
+        padded = [None, *own[np.append(True, own[1:] != own[:-1])].tolist(), None]  # a line is no neighbour of itself
+        for before, line, after in zip(padded, padded[1:], padded[2:]):
+            around.setdefault(line, set()).add((before, after))
+    return frozenset(line for line, places in around.items() if len(places) >= _CONTEXTS and line != line_hash(b""))
+
+
+def line_labels(sequences: list[np.ndarray], kinds: list[int]) -> list[np.ndarray]:
+    """A label for each line of documents of kind BOILERPLATE (bad) or CONTENT (good), from the lines' masks."""
+    every = np.concatenate(sequences)
+    looks, which = np.unique(every, return_inverse=True)
+    kind = np.repeat(kinds, [len(s) for s in sequences])
+    bad, good = (np.bincount(which[kind == k], minlength=len(looks)) + 0.5 for k in (BOILERPLATE, CONTENT))
+    odds = (bad / bad.sum() / (good / good.sum()))[which]
+    limit = np.where(kind == BOILERPLATE, _ODDS[BOILERPLATE], _ODDS[CONTENT])
+    labels = np.where((odds > limit) | (every & _KNOWN > 0), BOILERPLATE, CONTENT)
+    return np.split(labels, np.cumsum([len(s) for s in sequences])[:-1])
+
+
+def fit_field(sequences: list[np.ndarray], labels: list[int] | list[np.ndarray], ridge: float = 1e-3, near: float = 1e-4) -> LineField:
     """Maximise the penalised likelihood of the labelled lines, all sequences side by side, until no slope is over ``near``.
 
-    Both classes of document weigh the same, so that rare bad documents count.
+    ``labels`` has one for each line, or one for all lines of a sequence. Sequences mostly of either label weigh the
+    same in all, so that rare bad documents count.
     """
-    if len(set(labels)) < 2:
+    labels = [np.broadcast_to(y, len(s)) for s, y in zip(sequences, labels)]
+    if len({int(x) for y in labels for x in np.unique(y)}) < 2:
         return LineField.flat()
     # the first lines of all sequences, longest sequence first, then the second lines of those that have one, and so on
     order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
     lengths = np.array([len(sequences[i]) for i in order])
     active = len(lengths) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), side="right")
     begin = np.concatenate([[0], np.cumsum(active)])
-    masks, rank = np.empty(begin[-1], np.int32), np.empty(begin[-1], np.int64)
+    masks, rank, y = np.empty(begin[-1], np.int32), np.empty(begin[-1], np.int64), np.empty(begin[-1], np.int64)
+    moved = np.zeros((len(order), 2, 2))
     for r, i in enumerate(order):
-        masks[begin[: lengths[r]] + r], rank[begin[: lengths[r]] + r] = sequences[i], r
-    marks = np.array(labels)[order]
+        own = begin[: lengths[r]] + r
+        masks[own], rank[own], y[own] = sequences[i], r, labels[i]
+        np.add.at(moved[r], (labels[i][:-1], labels[i][1:]), 1)
+    marks = np.array([int(2 * labels[i].sum() > len(labels[i])) for i in order])
     lines = np.array([lengths[marks == c].sum() for c in (0, 1)])
-    weigh = (lines.sum() / (2 * lines))[marks]
+    weigh = (lines.sum() / (2 * np.maximum(lines, 1)))[marks]
     distinct, which = np.unique(masks, return_inverse=True)
-    features, y, weight = _bits(distinct), marks[rank], weigh[rank]
+    features, weight = _bits(distinct), weigh[rank]
     gold = np.where(y[:, None] == np.arange(2), weight[:, None], 0)
-    gold_moves = np.diag([(weigh * (lengths - 1))[marks == c].sum() for c in (0, 1)])
+    gold_moves = (moved * weigh[:, None, None]).sum(0)
     total, split = weight.sum(), 2 * len(FEATURES)
     part = [slice(begin[t], begin[t + 1]) for t in range(len(active))]
     came = [slice(begin[t - 1], begin[t - 1] + active[t]) for t in range(len(active))]
@@ -203,11 +244,22 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = 1500) -> LineFie
 
     def masks(batches):
         for batch in slices(batches):
-            found = [line_masks(t)[0].tobytes() for t in byte_texts(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array(found, pa.binary())], ["doc_id", "quality", "masks"])
-
-    seen = sorted({(r.doc_id, r.quality, bytes(r.masks)) for r in rows.mapInArrow(masks, "doc_id long, quality int, masks binary").collect()})
-    return fit_field([np.frombuffer(m, np.int32) for _, _, m in seen], [CONTENT if q else BOILERPLATE for _, q, _ in seen])
+            texts = byte_texts(batch.column("text"))
+            found = [line_masks(t)[0].tobytes() for t in texts]
+            lines = [np.array(list(map(line_hash, t.split(b"\n"))), np.uint64).tobytes() for t in texts]
+            columns = [batch.column("doc_id"), batch.column("quality"), pa.array(found, pa.binary()), pa.array(lines, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "quality", "masks", "lines"])
+
+    seen = sorted({(r.doc_id, r.quality, bytes(r.masks), bytes(r.lines)) for r in rows.mapInArrow(masks, "doc_id long, quality int, masks binary, lines binary").collect()})
+    kinds = [CONTENT if q else BOILERPLATE for _, q, _, _ in seen]
+    if len(set(kinds)) < 2:
+        return LineField.flat()
+    lines = [np.frombuffer(x, np.uint64) for *_, x in seen]
+    known = known_lines(lines)
+    listed = np.array(sorted(known), np.uint64)
+    sequences = [np.frombuffer(m, np.int32) | np.where(np.isin(x, listed), _KNOWN, 0).astype(np.int32) for (_, _, m, _), x in zip(seen, lines)]
+    field = fit_field(sequences, line_labels(sequences, kinds))
+    return LineField(field.weights, field.moves, known)
 
 
 def judge(docs: DataFrame, field: LineField, min_share: float = 0.5, keep_columns: bool = False) -> DataFrame:
@@ -224,7 +276,7 @@ def judge(docs: DataFrame, field: LineField, min_share: float = 0.5, keep_column
         if not words:
             return 0, 0, 0, 0, 0, True, 0.0, False
         n, chars = len(words), text.translate(None, _SPACE)
-        masks, sizes, dup_lines = line_masks(text)
+        masks, sizes, dup_lines = line_masks(text, field.known)
         again = repeated_ngram_words(words)
         share = float(sizes[field.viterbi(masks) == CONTENT].sum()) / n
         failed = n < 50 or 100 * again > 50 * n
