@@ -99,7 +99,7 @@ _LEVEL_SQL = """
 {level}_mean as (select p.*, (bad + prior * prior_worth) / (n + prior_worth) as mean, n + prior_worth as worth from {level}_prior p join {level}_worth w on {on}),"""
 
 
-def _op6_sql(limit: float = 0.5, z: float = 1.645) -> str:
+def _op6_sql(lift: float = 1.0, z: float = 1.0) -> str:
     host = r"translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     two = rf"regexp_extract(host, '(?:^|\.)((?:{'|'.join(urls.SECOND_LEVEL)})\.[^.]{{2}})$', 1)"
     rules = "null"
@@ -121,12 +121,12 @@ parts2 as (select *, string_split(left(host, greatest(0, length(host) - length(s
 parts as (select page_id, host, path, suffix, case when label = '' then suffix else label || '.' || suffix end as domain from parts2),
 outcomes as (select doc_id as page_id, max(case when quality = 0 or toxic = 1 then 1 else 0 end) as bad from labels where doc_id is not null group by doc_id),
 counts as (select suffix, domain, host, count(*)::double as n, sum(bad)::double as bad from parts join outcomes using (page_id) group by suffix, domain, host),
-root as (select (coalesce(sum(bad), 0) + {limit / 2}) / (coalesce(sum(n), 0) + 1.0) as mean from counts),{levels}
+root as (select (coalesce(sum(bad), 0) + {urls.PRIOR}) / (coalesce(sum(n), 0) + 1.0) as mean from counts),{levels}
 known as (
     select h.host, coalesce(a.mean, b.mean, c.mean, (select mean from root)) as mean, coalesce(a.worth, b.worth, c.worth, 1.0) as worth from (select distinct suffix, domain, host from parts) h
     left join host_mean a on h.suffix = a.suffix and h.domain = a.domain and h.host = a.host left join domain_mean b on h.suffix = b.suffix and h.domain = b.domain left join suffix_mean c on h.suffix = c.suffix),
 judged as (select page_id, host, path, {rules} as matched, greatest(0.0, mean - {z} * sqrt(mean * (1 - mean) / (worth + 1))) as lower_bound from parts p join known k using (host))
-select page_id, host, path, substr(matched, strpos(matched, ' ') + 1) as rule, coalesce(string_split(matched, ' ')[1], case when lower_bound > {limit} then 'block' else 'allow' end) as verdict from judged"""
+select page_id, host, path, substr(matched, strpos(matched, ' ') + 1) as rule, coalesce(string_split(matched, ' ')[1], case when lower_bound > {lift} * (select mean from root) then 'block' else 'allow' end) as verdict from judged"""
 
 
 _OP9_SQL = """

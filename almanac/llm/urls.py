@@ -4,15 +4,18 @@ Labelled page outcomes (bad or not) are counted by host. How bad a host's pages
 shrinkage down a tree: all hosts, public suffix, registered domain, host. At each level the parent's estimate is the
 prior mean, worth a number of pages that is fitted from how much its children differ (method of moments, between 1 and
 1,000), so a host of few labelled pages stands where its domain stands, and a host without any likewise. A page is
-blocked if, by the normal approximation to its host's posterior, the lower bound of the bad share exceeds ``limit``.
+blocked if, by the normal approximation to its host's posterior, the lower bound of the bad share, ``z`` standard
+deviations below the mean, exceeds ``lift`` times the share over all pages: how common bad pages are sets the limit,
+and a host must be credibly worse than that.
 Rules that the caller states go first; among the rules that fit a page the longest wins.
 
 Counting is by host (partial sums first), estimates are joined to pages by host, domain and suffix; all of it is
 DataFrame operations, so a host that a third of all pages share is split by adaptive execution like any skewed join.
 
 Defined results: a null url, or one without ``://``, has an empty host and path; the empty host has a reputation like
-any other host. Outcomes that are null don't count. Repeated pages are judged each by itself. Without any outcome the
-prior share is ``limit / 2`` and nothing is blocked but by a rule. Host names that are IPv4 addresses or hold a port
+any other host. Outcomes that are null don't count. Repeated pages are judged each by itself; a null page_id has no
+outcome, and its page is judged by its host like any other. All shares start from one page of share PRIOR, so without
+any outcome nothing is blocked but by a rule. Host names that are IPv4 addresses or hold a port
 are taken as they are: what follows the last dot is the suffix. Other columns are ignored whatever their names.
 """
 
@@ -26,7 +29,9 @@ from pyspark.sql import functions as F
 from almanac.session import cut_lineage
 
 #: Second-level labels that are public suffixes below a country's label. Fixed values.
-SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
+SECOND_LEVEL = ("ac", "co", "com", "edu", "gob", "gov", "gv", "id", "ltd", "me", "mil", "ne", "net", "nom", "or", "org", "plc", "sch")
+#: The share of bad pages that one page is taken to have said before any is seen.
+PRIOR = 0.25
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -38,10 +43,13 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def suffix_of(host: Column) -> Column:
-    """The last label, or the last two where they are like ``co.uk``."""
+def suffix_of(host: Column, suffixes: Sequence[str] = ()) -> Column:
+    """The longest of ``suffixes`` that the host ends with; else the last two labels where they are like ``co.uk``, or the last."""
     two = F.regexp_extract(host, rf"(?:^|\.)((?:{'|'.join(SECOND_LEVEL)})\.[^.]{{2}})$", 1)
-    return F.when(two != "", two).otherwise(F.substring_index(host, ".", -1))
+    found = F.when(two != "", two).otherwise(F.substring_index(host, ".", -1))
+    for suffix in sorted(suffixes, key=len):
+        found = F.when((host == suffix) | host.endswith(f".{suffix}"), F.lit(suffix)).otherwise(found)
+    return found
 
 
 def domain_of(host: Column, suffix: Column) -> Column:
@@ -51,9 +59,9 @@ def domain_of(host: Column, suffix: Column) -> Column:
     return F.when(label == "", suffix).otherwise(F.concat(label, F.lit("."), suffix))
 
 
-def with_parts(pages: DataFrame) -> DataFrame:
+def with_parts(pages: DataFrame, suffixes: Sequence[str] = ()) -> DataFrame:
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    parts = parts.withColumn("suffix", suffix_of(F.col("host")))
+    parts = parts.withColumn("suffix", suffix_of(F.col("host"), suffixes))
     return parts.withColumn("domain", domain_of(F.col("host"), F.col("suffix")))
 
 
@@ -73,7 +81,7 @@ def matching_rule(rules: Sequence[tuple[str, str]]) -> Column:
 _LEVELS = ("suffix", "domain", "host")
 
 
-def reputations(outcomes: DataFrame, limit: float) -> dict[str, DataFrame]:
+def reputations(outcomes: DataFrame) -> dict[str, DataFrame]:
     """By level: its key, n, bad, mean and worth (pages that the estimate stands for); and the root's single row.
 
     ``outcomes`` has host, domain, suffix and bad (0 or 1) for each labelled page.
@@ -84,7 +92,7 @@ def reputations(outcomes: DataFrame, limit: float) -> dict[str, DataFrame]:
         keys = _LEVELS[: _LEVELS.index(level) + 1]
         counts[level] = counts[below].groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     root = counts["suffix"].agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    found = {"root": root.select(((F.col("bad") + F.lit(limit / 2)) / (F.col("n") + F.lit(1.0))).alias("mean"))}
+    found = {"root": root.select(((F.col("bad") + F.lit(PRIOR)) / (F.col("n") + F.lit(1.0))).alias("mean"))}
     above = found["root"]
     for level in _LEVELS:
         parent = _LEVELS[: _LEVELS.index(level)]
@@ -107,14 +115,15 @@ def reputations(outcomes: DataFrame, limit: float) -> dict[str, DataFrame]:
     return found
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = (), limit: float = 0.5, z: float = 1.645) -> DataFrame:
-    """page_id, host, path, rule, bad_share, lower_bound and verdict of every page.
+def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = (), lift: float = 1.0, z: float = 1.0, suffixes: Sequence[str] = ()) -> DataFrame:
+    """page_id, host, path, rule, bad_share, lower_bound, limit and verdict of every page.
 
-    ``outcomes`` (page_id, bad) are the labelled pages; a page that has several counts with its worst.
+    ``outcomes`` (page_id, bad) are the labelled pages; a page that has several counts with its worst. ``suffixes`` are
+    public suffixes, like those of hosting services, beside the top-level ones.
     """
-    parts = with_parts(pages)
+    parts = with_parts(pages, suffixes)
     marked = outcomes.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").alias("bad"))
-    levels = reputations(parts.join(marked, "page_id").select(*_LEVELS, "bad"), limit)
+    levels = reputations(parts.join(marked, "page_id").select(*_LEVELS, "bad"))
     hosts = parts.select(*_LEVELS).distinct()
     known = hosts.crossJoin(F.broadcast(levels["root"].select(F.col("mean").alias("root_mean"))))
     for level in _LEVELS:
@@ -123,8 +132,8 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]
     mean = F.coalesce("host_mean", "domain_mean", "suffix_mean", "root_mean")
     worth = F.coalesce("host_worth", "domain_worth", "suffix_worth", F.lit(1.0))
     bound = F.greatest(F.lit(0.0), mean - z * F.sqrt(mean * (1 - mean) / (worth + 1)))
-    scored = known.select("host", mean.alias("bad_share"), bound.alias("lower_bound"))
+    scored = known.select("host", mean.alias("bad_share"), bound.alias("lower_bound"), (F.lit(lift) * F.col("root_mean")).alias("limit"))
     rule = matching_rule(rules)
     judged = parts.select("page_id", "host", "path", rule.alias("matched")).join(scored, "host")
-    verdict = F.coalesce(F.substring_index("matched", " ", 1), F.when(F.col("lower_bound") > limit, "block").otherwise("allow"))
-    return judged.select("page_id", "host", "path", F.expr("substr(matched, instr(matched, ' ') + 1)").alias("rule"), "bad_share", "lower_bound", verdict.alias("verdict"))
+    verdict = F.coalesce(F.substring_index("matched", " ", 1), F.when(F.col("lower_bound") > F.col("limit"), "block").otherwise("allow"))
+    return judged.select("page_id", "host", "path", F.expr("substr(matched, instr(matched, ' ') + 1)").alias("rule"), "bad_share", "lower_bound", "limit", verdict.alias("verdict"))

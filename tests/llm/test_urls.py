@@ -1,3 +1,4 @@
+import random
 import re
 
 from almanac.llm import queries, urls
@@ -60,3 +61,32 @@ def test_reputation_shrinks(spark):
     assert by["rare.org"].verdict == "allow" and by["rare.org"].bad_share < 0.9  # one bad page is not a bad host
     assert by["new.bad.com"].bad_share > by["unseen.org"].bad_share  # the domain speaks for a host that has no pages
     assert by["one.bad.com"].bad_share < by["new.bad.com"].bad_share
+
+
+def planted(n_hosts=40, seed=1):
+    """Hosts of which every eighth has mostly bad pages; a third of the pages are labelled."""
+    rng = random.Random(seed)
+    pages, outcomes = [], []
+    for h in range(n_hosts):
+        share = 0.8 if h % 8 == 0 else 0.1
+        for _ in range(rng.randint(40, 120)):
+            i = len(pages)
+            pages.append((i, f"https://h{h}.example{h % 5}.{('com', 'net', 'co.uk')[h % 3]}/p/{i}"))
+            if rng.random() < 0.35:
+                outcomes.append((i, int(rng.random() < share)))
+    return pages, outcomes
+
+
+def test_bad_hosts_are_blocked_without_a_rule(spark):
+    pages, outcomes = planted()
+    found = urls.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(outcomes, "page_id long, bad int")).collect()
+    blocked = {r.host for r in found if r.verdict == "block"}
+    bad = {r.host for r in found if int(r.host[1:].split(".")[0]) % 8 == 0}
+    assert blocked == bad and all(r.rule is None for r in found)
+
+
+def test_private_suffixes(spark):
+    rows = spark.createDataFrame([("a.pages.example",), ("b.a.pages.example",), ("pages.example",), ("xpages.example",)], "host string")
+    rows = rows.withColumn("suffix", urls.suffix_of(urls.F.col("host"), ("pages.example",)))
+    found = {r.host: (r.suffix, r.domain) for r in rows.withColumn("domain", urls.domain_of(urls.F.col("host"), urls.F.col("suffix"))).collect()}
+    assert found == {"a.pages.example": ("pages.example", "a.pages.example"), "b.a.pages.example": ("pages.example", "a.pages.example"), "pages.example": ("pages.example", "pages.example"), "xpages.example": ("example", "xpages.example")}
