@@ -67,7 +67,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(table(spark, sf_dir, "documents"), secrets.train(spark), path_col="source")
+    words = secrets.vocabulary_words(tokenizer()[0])
+    found = secrets.scan(table(spark, sf_dir, "documents"), secrets.train(spark, dictionary=words), path_col="source", dictionary=words)
     return found.select("doc_id", F.col("place").cast("long").alias("place"), F.sha2("value", 256).alias("value_sha256"), F.length("value").alias("length"), F.round("score", 6).alias("score"), "is_secret")
 
 

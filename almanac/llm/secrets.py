@@ -5,20 +5,26 @@ digits mixed, a value that is assigned to a name like ``password``, or one with
 word, and the two words before and the word after are its neighbours.
 
 Features: length; transitions between kinds of characters and between vowels and consonants; the share of letters
-covered by dictionary words; what the path says (tests, documentation, examples) and whether the value itself is part
+covered by dictionary words (those of a ``dictionary``, such as the whole words of a tokenizer's vocabulary; training
+and scan must have the same); what the path says (tests, documentation, examples) and whether the value itself is part
 of a path or address; and what the neighbouring words say (credential names, or names of harmless values such as
 checksums). The forest is trained from labelled findings, at most ``max_findings`` of them, those of the smallest
 hash; without any, from findings drawn by a seeded generator of common formats (``example_findings``).
 
-Defined results: a null or empty text has no candidate. A word may hold several candidates, all of which count. A value that stands in a text several times is one candidate
-each time. Rows are scanned one by one, repeated or not. A null path says nothing. No rows in, no rows out.
+All patterns are matched in time that is linear in the text: a run is looked at from its beginning only.
+
+Defined results: a null or empty text has no candidate. A word may hold several candidates, all of which count. A value
+that stands in a text several times is one candidate each time. Rows are scanned one by one, repeated or not. A null path says nothing. No rows in, no rows out.
 """
 
 from __future__ import annotations
 
+import base64
 import random
+import re
 import string
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -32,10 +38,11 @@ HARMLESS = r"(?i)commit|sha-?(?:1|256|512)?\b|md5|checksum|digest|etag|uuid|guid
 #: Frequent words and syllable groups of ordinary writing, for dictionary coverage. Fixed values.
 DICTIONARY = "the and tion ing ment ent for with that this from have was not are all can has new data file test user name value key example system report version page index image list item number group order state open close read write time date year house world water light".split()
 #: Prefixes that providers give to keys. Fixed values.
-PREFIXES = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_live_[0-9a-zA-Z]{24}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"
+PREFIXES = r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk_live_[0-9a-zA-Z]{24}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35}|(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++"
 # one that is no part of a longer word
 _PREFIXED = rf"(?<![A-Za-z0-9])(?:{PREFIXES})(?![A-Za-z0-9])"
-_RUN = r"(?=[A-Za-z0-9+/_=.-]*[0-9])(?=[A-Za-z0-9+/_=.-]*[A-Za-z])[A-Za-z0-9+/_=.-]{14,}"
+# a whole run (or what a match before it left of it) of at least 14 key characters with a digit and a letter
+_RUN = r"(?:(?<![A-Za-z0-9+/_=.-])|\G)(?=[A-Za-z0-9+/_=.-]{14})(?=[A-Za-z+/_=.-]*+[0-9])(?=[0-9+/_=.-]*+[A-Za-z])[A-Za-z0-9+/_=.-]++"
 # an & ends an assigned value where a further ``name=`` follows; elsewhere it may be part of a password
 _AND = r"&(?!(?:amp;)?[\w.\[\]-]{1,64}=)"
 _PART = r"[^\s\"'=:,;&]"
@@ -77,14 +84,44 @@ def candidates(docs: DataFrame, path_col: str | None = None) -> DataFrame:
     return found.select("doc_id", "path", "one.before", "one.value", "after", "place").where(F.length("value") >= 6)
 
 
-def with_features(found: DataFrame) -> DataFrame:
+def vocabulary_words(rank_file: str, n: int = 4096) -> tuple[str, ...]:
+    """The first ``n`` entries of a tokenizer's rank file that are whole words: a space and 4 to 12 letters a-z."""
+    found = []
+    with open(rank_file, "rb") as lines:
+        for token, _ in sorted(map(bytes.split, lines), key=lambda x: int(x[1])):
+            word = base64.b64decode(token)
+            if re.fullmatch(rb" [a-z]{4,12}", word):
+                found.append(word[1:].decode())
+                if len(found) == n:
+                    break
+    return tuple(found)
+
+
+def any_of(words: Sequence[str]) -> str:
+    """A pattern for the longest of the words at a place, branching letter by letter."""
+    tree: dict = {}
+    for word in words:
+        at = tree
+        for letter in word:
+            at = at.setdefault(letter, {})
+        at[""] = {}
+
+    def pattern(at: dict) -> str:
+        ways = [re.escape(letter) + pattern(rest) for letter, rest in sorted(at.items()) if letter]
+        inner = f"(?:{'|'.join(ways)})" if len(ways) > 1 else "".join(ways)
+        return f"(?:{inner})?" if "" in at and ways else inner
+
+    return pattern(tree)
+
+
+def with_features(found: DataFrame, dictionary: Sequence[str] = DICTIONARY) -> DataFrame:
     """``found`` (value, before, after, path) with the columns of FEATURES, all doubles."""
     v = F.col("value")
     n = F.length(v).cast("double")
     count = lambda pattern: F.regexp_count(v, F.lit(pattern)).cast("double")
     says = lambda c, pattern: F.coalesce(F.col(c).rlike(pattern), F.lit(False)).cast("double")
     letters = F.greatest(count("[A-Za-z]"), F.lit(1.0))
-    uncovered = F.length(F.regexp_replace(F.lower(v), "|".join(sorted(DICTIONARY, key=len, reverse=True)) + "|[^a-z]", "")).cast("double")
+    uncovered = F.length(F.regexp_replace(F.lower(v), any_of(dictionary) + "|[^a-z]", "")).cast("double")
     turns = r"(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])"
     kinds = sum((says("value", k) for k in ("[a-z]", "[A-Z]", "[0-9]", "[^a-zA-Z0-9]")), F.lit(0.0))
     made = {
@@ -98,8 +135,11 @@ def with_features(found: DataFrame) -> DataFrame:
     return found.withColumns({f: made[f] for f in FEATURES})
 
 
-def example_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, str, str, int]]:
-    """(value, before, after, path, label) in common formats: keys, tokens and passwords, and what is taken for them."""
+def example_findings(n: int = 3000, seed: int = 5, formats: Callable[[int], bool] = lambda f: True) -> list[tuple[str, str, str, str, int]]:
+    """(value, before, after, path, label) in common formats: keys, tokens and passwords, and what is taken for them.
+
+    ``formats`` says by their numbers which formats to draw from, secrets and others alike, so that some can be held out.
+    """
     rng = random.Random(seed)
     some = lambda chars, a, b=None: "".join(rng.choices(chars, k=rng.randint(a, b or a)))
     hex_, base, alnum = "0123456789abcdef", string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits
@@ -119,6 +159,7 @@ def example_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, str,
         lambda: ("".join(word() for _ in range(4)) + rng.choice(["", "1", "2"]), word()), lambda: ("_".join(word() for _ in range(4)) + str(rng.randint(0, 9)), f"{word()} ="), lambda: (word() + word(), f"{rng.choice(names)}"),
         lambda: ("your_" + rng.choice(names) + "_here", f"{rng.choice(names)} ="), lambda: ("x" * rng.randint(6, 24), f"{rng.choice(names)}="), lambda: (f"+{rng.randint(1, 99)}-{rng.randint(100, 999)}-{rng.randint(1000000, 9999999)}x{rng.randint(1, 9)}", "phone"),
     ]
+    positive, negative = ([f for i, f in enumerate(x) if formats(i)] for x in (positive, negative))
     found = []
     for i in range(n):
         label = i % 2
@@ -127,22 +168,22 @@ def example_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, str,
     return found
 
 
-def train(spark: SparkSession, findings: DataFrame | None = None, max_findings: int = 20_000, trees: int = 24, depth: int = 7, seed: int = 5) -> RandomForestClassificationModel:
+def train(spark: SparkSession, findings: DataFrame | None = None, max_findings: int = 20_000, trees: int = 24, depth: int = 7, seed: int = 5, dictionary: Sequence[str] = DICTIONARY) -> RandomForestClassificationModel:
     """A forest from labelled findings (value, before, after, path, label 1 or 0)."""
     if findings is None:
         findings = spark.createDataFrame(example_findings(), "value string, before string, after string, path string, label int")
     usable = findings.where("value is not null and value <> '' and label in (0, 1)").dropDuplicates(["value", "before", "after", "path", "label"])
     order = [F.xxhash64("value", "before", "after", "path"), "value", "before", "after", "path", "label"]
-    bounded = with_features(usable.orderBy(*order).limit(max_findings)).withColumn("label", F.col("label").cast("double"))
+    bounded = with_features(usable.orderBy(*order).limit(max_findings), dictionary).withColumn("label", F.col("label").cast("double"))
     assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(bounded)
     # the findings are bounded: in one partition and order, the forest is the same each time
     ready = assembled.select("features", "label", *(x for x in order if isinstance(x, str) and x != "label")).repartition(1).sortWithinPartitions("value", "before", "after", "path", "label")
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(ready.select("features", "label"))
 
 
-def scan(docs: DataFrame, model: RandomForestClassificationModel, path_col: str | None = None, threshold: float = 0.5) -> DataFrame:
+def scan(docs: DataFrame, model: RandomForestClassificationModel, path_col: str | None = None, threshold: float = 0.5, dictionary: Sequence[str] = DICTIONARY) -> DataFrame:
     """doc_id, place (number of the word), value, before, score and is_secret of every candidate."""
-    found = with_features(candidates(docs, path_col))
+    found = with_features(candidates(docs, path_col), dictionary)
     assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(found)
     scored = model.transform(assembled).withColumn("score", vector_to_array("probability")[1])
     return scored.select("doc_id", "place", "value", "before", "score", (F.col("score") >= threshold).alias("is_secret"))
@@ -151,14 +192,14 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, path_col: str
 MASK = "[SECRET]"
 
 
-def masked(docs: DataFrame, model: RandomForestClassificationModel, path_col: str | None = None, threshold: float = 0.5) -> DataFrame:
+def masked(docs: DataFrame, model: RandomForestClassificationModel, path_col: str | None = None, threshold: float = 0.5, dictionary: Sequence[str] = DICTIONARY) -> DataFrame:
     """``docs``, all columns, with every secret value in a text replaced by MASK and n_chars (if there) counted anew.
 
     Only documents with secrets are joined to them, by a hash of id and text.
     """
     key = F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text"))
     tagged = docs.select(F.to_json(key).alias("doc_id"), "text", *([F.col(path_col)] if path_col and path_col not in ("doc_id", "text") else []))
-    secrets = scan(tagged, model, path_col, threshold).where("is_secret").groupBy("doc_id").agg(F.collect_set("value").alias("__almanac_values"))
+    secrets = scan(tagged, model, path_col, threshold, dictionary).where("is_secret").groupBy("doc_id").agg(F.collect_set("value").alias("__almanac_values"))
     longest_first = F.transform(F.array_sort(F.transform("__almanac_values", lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v")))), lambda s: s["v"])
     secrets = secrets.select(F.col("doc_id").alias("__almanac_key"), longest_first.alias("__almanac_values"))
     joined = docs.withColumn("__almanac_key", F.to_json(key)).join(secrets, "__almanac_key", "left")
