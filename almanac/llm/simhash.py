@@ -8,10 +8,13 @@ are counted.
 A list of one positional byte would hold a 256th of everything. Therefore lists are intersected before they are
 walked: a pair that shares 4 of 8 positions shares all positions of at least one member of a small family of position
 sets, so only the intersections for that family are walked (7 pairs of positions at first; sets of 3 or 4 positions
-once there are so many fingerprints that lists of pairs would grow long). No partner is capped or lost by that.
+once there are so many fingerprints that lists of pairs would grow long). Within an intersection the members are listed
+by each further positional byte, these lists are walked, and each pair that meets is tallied, on top of the positions
+that all members share; only pairs whose tally reaches the minimum are verified. No partner is capped or lost by that.
 
-Equal fingerprints count once. A list yields the links of a spanning forest of its links, so a group of k near copies
-makes fewer than k rows a list, and a dense group is walked breadth first: what is linked once is not compared again.
+Equal fingerprints count once. In a long list each member's tallies are taken at once, and breadth first: what is
+linked is not tallied again, so a group of k near copies makes fewer than k links a list. Nodes of links are the
+smallest doc_id of a fingerprint, so what names a component is its component_id, and nothing is dealt by component.
 The links become components by alternating large-star and small-star steps, whose state is checkpointed.
 
 Defined results: a null, empty or blank text has no shingle and fingerprint zero, and is linked like any other. A text
@@ -21,6 +24,7 @@ all are null). Repeated rows come back as often as they are there. No rows in, n
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -34,8 +38,10 @@ from almanac.session import cut_lineage, shuffle_partitions
 
 SEED = 42
 _LANES = np.uint64(0x0101010101010101)
-#: Lists at least this long are walked breadth first, shorter ones pair by pair in one sweep.
+#: Lists at least this long are walked breadth first, shorter ones many in one sweep.
 _LONG = 256
+#: So many pairs of short lists are looked at together.
+_PAIRS = 1 << 20
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
@@ -95,56 +101,111 @@ def covering_family(shared: int, size: int, positions: int = 8) -> list[tuple[in
 
 def link_lists(lists: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what is linked within each list. ``lists`` is in order; the fingerprints of a list differ."""
+    a, b = link_places(lists, fps, max_bits)
+    return fps[a], fps[b]
+
+
+def link_places(lists: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same links by the members' places."""
     edges = np.flatnonzero(np.diff(lists, prepend=lists[0] - 1 if len(lists) else 0))
     sizes = np.diff(np.append(edges, len(lists)))
-    left, right = [], []
+    none = np.zeros(0, np.int64)
+    found = [(none, none)]
     for begin, size in zip(edges[sizes >= _LONG], sizes[sizes >= _LONG]):
         a, b = _walk(fps[begin : begin + size], max_bits)
-        left.append(a), right.append(b)
-    last = np.repeat(np.where(sizes >= _LONG, edges, edges + sizes), sizes)  # of long lists nothing is left to compare
-    at = np.arange(len(lists))
-    for step in range(1, _LONG):
-        at = at[at + step < last[at]]
-        if not len(at):
-            break
-        linked = _linked(fps[at], fps[at + step], max_bits)
-        left.append(fps[at[linked]]), right.append(fps[at[linked] + step])
-    none = np.zeros(0, fps.dtype)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
-
-
-def _linked(a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
-    """Tally the positional bytes that a and b share, keep those that reach the minimum, and verify their bits."""
-    differing = np.ascontiguousarray(a ^ b)
-    shared = (differing.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
-    kept = shared >= 8 - max_bits
-    kept[kept] = np.bitwise_count(differing[kept].view(np.uint64)) <= max_bits
-    return kept
+        found.append((a + begin, b + begin))
+    short = (sizes < _LONG) & (sizes > 1)
+    edges, sizes = edges[short], sizes[short]
+    # as many lists at a time as have a bounded number of pairs
+    turn = np.cumsum(sizes * (sizes - 1) // 2) // _PAIRS
+    for begin, end in zip(cuts := np.flatnonzero(np.diff(turn, prepend=-1)), [*cuts[1:], len(sizes)]):
+        found.append(_sweep(edges[begin:end], sizes[begin:end], fps, max_bits))
+    left, right = zip(*found)
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _verified(fps: np.ndarray, a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
+    return np.bitwise_count((fps[a] ^ fps[b]).view(np.uint64)) <= max_bits
+
+
+def _sweep(edges: np.ndarray, sizes: np.ndarray, fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """All links within lists that begin at ``edges``: each pair is tallied once for each byte list in which it meets."""
+    member = np.repeat(edges - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+    number = np.repeat(np.arange(len(sizes)), sizes)
+    octets = fps[member].view(np.uint8).reshape(-1, 8)
+    begins = np.cumsum(sizes) - sizes
+    # a position at which a whole list agrees is one for each of its pairs
+    whole = np.array([np.minimum.reduceat(octets[:, p], begins) == np.maximum.reduceat(octets[:, p], begins) for p in range(8)])
+    shared = whole.sum(axis=0)
+    done = shared >= 8 - max_bits  # so much in common that no further byte is needed
+
+    def meeting(at: np.ndarray, key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All pairs of members (in order of key) that have a key in common."""
+        i, step = np.arange(len(at)), 1
+        while len(i := i[i + step < len(at)]) and len(i := i[key[i] == key[i + step]]):
+            yield at[i], at[i + step]
+            step += 1
+
+    met = [np.zeros(0, np.int64)]
+    for p in range(8):
+        at = np.flatnonzero(~(whole[p] | done)[number])
+        key = number[at] * 256 + octets[at, p]
+        order = np.argsort(key, kind="stable")
+        met += [np.minimum(x, y) * len(member) + np.maximum(x, y) for x, y in meeting(at[order], key[order])]
+    pairs, tally = np.unique(np.concatenate(met), return_counts=True)
+    x, y = pairs // len(member), pairs % len(member)
+    enough = tally + shared[number[x]] >= 8 - max_bits
+    at = np.flatnonzero(done[number])
+    ends = [(x[enough], y[enough]), *meeting(at, number[at])]
+    a, b = (member[np.concatenate(side)] for side in zip(*ends))
+    linked = _verified(fps, a, b, max_bits)
+    return a[linked], b[linked]
 
 
 def _walk(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of one list's links; each member is compared with those not yet reached only."""
-    open_, left, right = fps, [], []
-    while len(open_):
-        queue, open_ = [open_[0]], open_[1:]
-        while queue and len(open_):
+    """A spanning forest of one list's links; each member's tallies are taken from the lists of its positional bytes."""
+    octets = fps.view(np.uint8).reshape(-1, 8)
+    varied = [p for p in range(8) if octets[:, p].min() != octets[:, p].max()]
+    postings = {}
+    for p in varied:
+        order = np.argsort(octets[:, p], kind="stable")
+        postings[p] = order, np.searchsorted(octets[order, p], np.arange(257))
+    is_open, left, right, n_open = np.ones(len(fps), bool), [], [], len(fps)
+    for first in range(len(fps)):
+        if not is_open[first]:
+            continue
+        is_open[first], queue, n_open = False, [first], n_open - 1
+        while queue and n_open:
             at = queue.pop()
-            linked = _linked(np.full(len(open_), at), open_, max_bits)
-            if linked.any():
-                found = open_[linked]
-                left.append(np.full(len(found), at)), right.append(found)
-                queue.extend(found)
-                open_ = open_[~linked]
-    none = np.zeros(0, fps.dtype)
+            tally = np.full(len(fps), 8 - len(varied), np.uint8)
+            for p in varied:
+                order, begins = postings[p]
+                byte = octets[at, p]
+                tally[order[begins[byte] : begins[int(byte) + 1]]] += 1
+            near = np.flatnonzero(is_open & (tally >= 8 - max_bits))
+            near = near[_verified(fps, np.full(len(near), at), near, max_bits)]
+            if len(near):
+                left.append(np.full(len(near), at)), right.append(near)
+                is_open[near] = False
+                n_open -= len(near)
+                queue.extend(near.tolist())
+    none = np.zeros(0, np.int64)
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
 def links(distinct: DataFrame, n: int, max_bits: int = 4) -> DataFrame:
-    """Links (a, b) between distinct fingerprints, column fp, that connect all that differ in max_bits or fewer."""
+    """Links (a, b) between the nodes of distinct fingerprints (fp, node) that connect all that differ in max_bits or fewer.
+
+    ``n`` is how many there are; it sets how many positions are intersected.
+    """
     need = 8 - max_bits
     if not 1 <= need <= 8:
         raise ValueError("max_bits must be 0 to 7")
-    size = min(need, 2 if n < 1 << 26 else 3 if n < 1 << 34 else 4)
+    return links_by(distinct, min(need, 2 if n < 1 << 26 else 3 if n < 1 << 34 else 4), max_bits)
+
+
+def links_by(distinct: DataFrame, size: int, max_bits: int) -> DataFrame:
+    """``links`` with lists of ``size`` positions."""
     buckets = 4 * shuffle_partitions(distinct.sparkSession)
     byte = lambda p: F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255))
 
@@ -154,17 +215,19 @@ def links(distinct: DataFrame, n: int, max_bits: int = 4) -> DataFrame:
             value = value * 256 + byte(p)
         return value
 
-    family = covering_family(need, size)
-    lists = distinct.select(F.explode(F.array(*[key(i, s) for i, s in enumerate(family)])).alias("list"), "fp")
+    family = covering_family(8 - max_bits, size)
+    lists = distinct.select(F.explode(F.array(*[key(i, s) for i, s in enumerate(family)])).alias("list"), "fp", "node.none", "node.id")
     lists = lists.withColumn("bucket", F.pmod(F.xxhash64("list"), F.lit(buckets)).cast("int"))
 
     def connect(table: pa.Table) -> pa.Table:
-        list_, fp = table["list"].to_numpy(), table["fp"].to_numpy()
-        order = np.argsort(list_, kind="stable")
-        a, b = link_lists(list_[order], fp[order], max_bits)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        list_ = table["list"].to_numpy()
+        table = table.take(pa.array(order := np.argsort(list_, kind="stable")))
+        ends = link_places(list_[order], table["fp"].to_numpy(), max_bits)
+        return pa.table({f"{side}_{c}": table[c].take(pa.array(at)) for side, at in zip("ab", ends) for c in ("none", "id", "fp")})
 
-    return lists.groupBy("bucket").applyInArrow(connect, "a long, b long").distinct()
+    kind = dict(lists.dtypes)["id"]
+    found = lists.groupBy("bucket").applyInArrow(connect, ", ".join(f"{side}_none boolean, {side}_id {kind}, {side}_fp long" for side in "ab"))
+    return found.select(*(F.struct(*(F.col(f"{side}_{c}").alias(c) for c in ("none", "id", "fp"))).alias(side) for side in "ab")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -194,11 +257,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 def classes(prints: DataFrame, max_bits: int) -> DataFrame:
     """fp, root (the fingerprint that names its component) and component_id, one row per distinct fingerprint."""
-    distinct = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(distinct.select("fp"), distinct.count(), max_bits))
-    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return named.join(least, "root").select("fp", "root", "component_id")
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    kind = dict(distinct.dtypes)["first"]
+    # of a component the smallest node is that of its smallest doc_id; nodes without one come last
+    node = F.struct(F.isnull("first").alias("none"), F.coalesce("first", F.lit(0).cast(kind)).alias("id"), "fp")
+    distinct = cut_lineage(distinct.select("fp", node.alias("node")))
+    roots = components(links(distinct, distinct.count(), max_bits))
+    named = distinct.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("top"))
+    return named.select("fp", F.col("top.fp").alias("root"), F.when(~F.col("top.none"), F.col("top.id")).alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
