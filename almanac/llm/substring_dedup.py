@@ -10,7 +10,7 @@ each copy holds a whole block of ``anchor = (window + 1) // 2`` words that begin
    one, not pairs of hits, makes k copies cost k steps.
 3. *Remove.* Words under a maximal repeat go.
 
-Texts are dealt into shards once. A shard sends each distinct hash once, however often it occurs in it, to the
+Texts are dealt into shards of ``shard_bytes`` once, compressed. A shard sends each distinct hash once, however often it occurs in it, to the
 partition that owns the hash, and hears back which of them count: a passage that stands in a third of all texts is as
 many rows as there are shards. Anchors travel as 32 bits beside the number of the partition that owns them, for
 they only nominate; repeats are decided on 96 bits.
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from almanac.llm.words import byte_texts, hash_texts, inside, maybe_member, member, ngram_hashes
+from almanac.llm.words import byte_texts, hash_texts, inside, maybe_member, member, ngram_hashes, packs, text_bytes, unpacked
 from almanac.session import shuffle_partitions
 
 _LETTER = "owner int, shard int, hashes binary, flags binary"
@@ -38,18 +38,19 @@ _RESULT = "doc_id {id}, n_words long, spans array<struct<start:long,end:long>>,
 _PAIR = np.dtype([("lo", "<u8"), ("hi", "<u4")])
 
 
-def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 12 << 20, owner_bytes: int = 96 << 20) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, spans (maximal repeats as ranges of words), kept_text."""
     spark = docs.sparkSession
     anchor = (window + 1) // 2
+    size, pieces = text_bytes(docs, text_col), shuffle_partitions(spark)
     # letters are shards times owners: few owners, as an owner's work is small
-    shards, owners = 2 * shuffle_partitions(spark), shuffle_partitions(spark)
+    shards, owners = max(pieces, -(-size // shard_bytes)), max(pieces, -(-size // owner_bytes))
+    shard_tasks, owner_tasks = max(pieces, -(-shards // 4)), max(pieces, -(-owners // 4))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int"))
-    sharded = rows.groupBy("shard")
+    sharded = packs(rows, F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards))).repartition(shard_tasks, "shard").groupBy("shard")
 
     def probe(key: tuple, table: pa.Table) -> pa.Table:
-        words, offsets = hash_texts(byte_texts(table["text"]))
+        words, offsets = hash_texts(byte_texts(unpacked(table["pack"])["text"]))
         codes = _anchor_codes(words, anchor, owners)
         valid = inside(offsets, anchor, len(codes))
         place = np.arange(len(codes)) - np.repeat(offsets[:-1], np.diff(offsets))[: len(codes)]
@@ -68,7 +69,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     def extend(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(replies) or not len(table):
             return _letters(0, np.zeros(0, np.int64), np.zeros(0, _PAIR), np.zeros(0, np.uint8))
-        words, offsets = hash_texts(byte_texts(table["text"]))
+        words, offsets = hash_texts(byte_texts(unpacked(table["pack"])["text"]))
         codes = _anchor_codes(words, anchor, owners)
         hit = member(codes, _codes_of(replies)) & inside(offsets, anchor, len(codes))
         reach = np.concatenate([[0], np.cumsum(hit)])
@@ -91,7 +92,8 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
         return _replies(table, hashes, ((times > 1) | _any(which, flags & 1, len(times)))[which], ends)
 
     def remove(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
-        texts = byte_texts(table["text"])
+        rows = unpacked(table["pack"])
+        texts = byte_texts(rows["text"])
         repeated = [np.frombuffer(x, _PAIR) for x in replies["hashes"].to_pylist()] if len(replies) else []
         repeated = _in_order(np.concatenate(repeated)) if repeated else np.zeros(0, _PAIR)
         counts, spans, kept = [], [], []
@@ -116,11 +118,11 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
                 spans.append([])
             kept.append(b" ".join(own))
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.table({"doc_id": table["doc_id"], "n_words": pa.array(counts, pa.int64()), "spans": pa.array(spans, span), "kept_text": pa.array(kept, pa.binary()).cast(pa.string())})
+        return pa.table({"doc_id": rows["doc_id"], "n_words": pa.array(counts, pa.int64()), "spans": pa.array(spans, span), "kept_text": pa.array(kept, pa.binary()).cast(pa.string())})
 
-    anchors = sharded.applyInArrow(probe, _LETTER).groupBy("owner").applyInArrow(answer_anchors, _REPLY)
-    windows = sharded.cogroup(anchors.groupBy("shard")).applyInArrow(extend, _LETTER)
-    repeats = windows.groupBy("owner").applyInArrow(answer_windows, _REPLY)
+    anchors = sharded.applyInArrow(probe, _LETTER).repartition(owner_tasks, "owner").groupBy("owner").applyInArrow(answer_anchors, _REPLY)
+    windows = sharded.cogroup(anchors.repartition(shard_tasks, "shard").groupBy("shard")).applyInArrow(extend, _LETTER)
+    repeats = windows.repartition(owner_tasks, "owner").groupBy("owner").applyInArrow(answer_windows, _REPLY).repartition(shard_tasks, "shard")
     kind = dict(rows.dtypes)["doc_id"]
     return sharded.cogroup(repeats.groupBy("shard")).applyInArrow(remove, _RESULT.format(id=kind))
 

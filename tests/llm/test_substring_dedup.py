@@ -34,3 +34,9 @@ def test_awkward_rows(spark, awkward):
 
 def test_empty_table(spark, awkward):
     assert remove_repeats(awkward.limit(0)).count() == 0
+
+
+def test_many_shards_and_owners_say_the_same(spark, sf, documents):
+    found = remove_repeats(spark.read.parquet(f"{sf}/documents.parquet"), 35, shard_bytes=20_000, owner_bytes=30_000).collect()
+    got = Counter((r.doc_id, r.n_words, sum(s.end - s.start for s in r.spans), hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in found)
+    assert got == brute(documents, 35)
