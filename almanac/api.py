@@ -1,21 +1,27 @@
 """The knowledge base as one object: the verbs that a command line, an HTTP service or a tool server would offer.
 
-Content, the catalogue and everything derived from them are Parquet tables below one folder. Sources are added,
-updated (replaced by document), deleted with all that was derived from them, searched, read, exported and imported.
+Content and everything derived from it are Parquet tables below one folder. Sources are added, updated (replaced by
+document), deleted with all that was derived from them, searched, read, exported and imported.
+
+Whatever a verb needs beyond a document's text is derived when content is written, by source, and read by the verb:
+chunks, the full-text index, vectors, trigrams, mentions, entities and relations. A source's part of each is replaced
+when its content is, and nothing of other sources is touched; counts and statistics are summed over sources when read.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almanac.functions.text import content_hash, snippet, wikilinks
 from almanac.functions.text import section as section_of
 from almanac.operators import catalog, chunker, enrich, fts, graph, retrieval, storage
+from almanac.session import cut_lineage
 from almanac.sources import DOCUMENT, binary, files, zim
 
 READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -37,6 +43,16 @@ READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "firefox-history": lambda s, p: _visited(s, p, "firefox-history"),
 }
 _CONTENT = "source_name string, external_id string, title string, text string, content_type string, parent_id string, depth int, privacy_level int, content_hash string, content_size long"
+#: What is derived of a source, by table; the full-text index has folders of its own.
+_DERIVED = {
+    "chunks": "source_name string, chunk_id string, external_id string, title string, text string, privacy_level int",
+    "vectors": "source_name string, chunk_id string, title string, vector array<float>, privacy_level int",
+    "trigrams": "source_name string, document string, gram string",
+    "mentions": "source_name string, entity_id string, document_id string, mention_text string",
+    "named": "source_name string, entity_id string, document_id string, mention_text string",
+    "entities": "source_name string, id string, canonical_name string, description string, entity_types array<string>, mention_count long",
+    "relations": "source_name string, subject_id string, predicate string, object_id string, confidence double",
+}
 
 
 def _profiled(spark: SparkSession, path: str) -> DataFrame:
@@ -79,14 +95,72 @@ class KnowledgeBase:
         return self._read("content", _CONTENT)
 
     def _replace(self, source: str, rows: DataFrame) -> None:
-        """Put a source's documents in place of those it had. They are written aside first, as rows may come from them."""
-        aside = f"{self.folder}/.aside"
-        rows.select(*[c.split()[0] for c in _CONTENT.split(", ")]).write.mode("overwrite").parquet(aside)
-        fresh = self.spark.read.parquet(aside)
-        if fresh.isEmpty():
-            self.delete(source)
-        else:
-            fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_name").option("compression", "zstd").parquet(f"{self.folder}/content")
+        """Put a source's documents in place of those it had, and derive anew what is derived of them.
+
+        They are written aside first, as rows may come from them, in a folder of this call's own.
+        """
+        aside = f"{self.folder}/.aside-{uuid.uuid4().hex}"
+        try:
+            rows.select(*[c.split()[0] for c in _CONTENT.split(", ")]).write.parquet(aside)
+            fresh = self.spark.read.parquet(aside)
+            if fresh.isEmpty():
+                self.delete(source)
+            else:
+                self._write("content", fresh)
+                self.build_index(source)
+        finally:
+            self._remove(aside)
+
+    def _write(self, name: str, rows: DataFrame, order: Sequence[str] = ()) -> None:
+        """Replace the parts of a table that belong to the sources of ``rows``; within files rows are in order."""
+        sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows
+        sorted_.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_name").option("compression", "zstd").parquet(f"{self.folder}/{name}")
+
+    def _remove(self, path: str) -> None:
+        sc = self.spark.sparkContext
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+    def _part(self, source: str) -> str:
+        return f"source_name={self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(source)}"
+
+    def build_index(self, source: str | None = None) -> None:
+        """Derive all that is derived of a source, or of every one."""
+        if source is None:
+            for row in self.content().select("source_name").distinct().collect():
+                self.build_index(row.source_name)
+            return
+        own = self.content().where(F.col("source_name") == source)
+        for name in _DERIVED:
+            if name != "named":
+                self._remove(f"{self.folder}/{name}/{self._part(source)}")
+        self._write("chunks", self._chunked(own), ["chunk_id"])
+        chunks = self._table("chunks").where(F.col("source_name") == source)
+        fts.build_index(chunks.select("chunk_id", "text", "title", "privacy_level"), f"{self.folder}/fts", ("text", "title"), "chunk_id", ("privacy_level",), within=self._part(source))
+        from almanac.functions.registry import embed_text
+
+        self._write("vectors", chunks.select("source_name", "chunk_id", "title", embed_text("text").alias("vector"), "privacy_level"))
+        documents = own.withColumn("document", F.concat_ws(":", "source_name", "external_id"))
+        self._write("trigrams", retrieval.trigrams(documents, "document").withColumn("source_name", F.lit(source)), ["gram", "document"])
+        found = graph.mentions_of(documents, wikilinks(F.col("text")), key="document", source=F.col("source_name"))
+        self._write("mentions", found, ["entity_id"])
+        self._relate(source)
+
+    def _relate(self, source: str) -> None:
+        """Entities and relations of a source's mentions."""
+        mentions = self.mentions().where(F.col("source_name") == source)
+        named = mentions.withColumn("kind", F.when(F.col("entity_id").startswith("ner:"), "Named").otherwise("Concept"))
+        entities = None
+        for kind in ("Concept", "Named"):
+            own = graph.entities_of(named.where(F.col("kind") == kind), kind)
+            entities = own if entities is None else entities.unionByName(own)
+        for name in ("entities", "relations"):
+            self._remove(f"{self.folder}/{name}/{self._part(source)}")
+        self._write("entities", entities.withColumn("source_name", F.lit(source)), ["id"])
+        self._write("relations", graph.cooccurrences(mentions), ["subject_id"])
+
+    def _table(self, name: str) -> DataFrame:
+        return self._read(name, _DERIVED[name])
 
     # Sources
 
@@ -130,10 +204,9 @@ class KnowledgeBase:
         return report
 
     def delete(self, name: str) -> None:
-        """The source's content; whatever is derived is derived anew."""
-        sc = self.spark.sparkContext
-        where = sc._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/content/source_name={name}")
-        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+        """The source's content and all that was derived of it."""
+        for table in ("content", *_DERIVED, "fts/postings", "fts/corpus"):
+            self._remove(f"{self.folder}/{table}/{self._part(name)}")
 
     def list_sources(self) -> DataFrame:
         return catalog.source_list(self.content(), "source_name")
@@ -153,24 +226,63 @@ class KnowledgeBase:
             where = where & (F.col("privacy_level") == 0)
         return where
 
-    def chunks(self) -> DataFrame:
-        rows = self.content().where("text is not null")
+    def _chunked(self, content: DataFrame) -> DataFrame:
+        rows = content.where("text is not null")
         article = chunker.chunk(rows.where("content_type <> 'Conversation'"))
         every = article.unionByName(chunker.chunk(rows.where("content_type = 'Conversation'"), conversation=True))
-        return every.withColumn("chunk_id", F.concat_ws("#", "source_name", "external_id", "chunk_index")).withColumnRenamed("chunk", "text")
+        named = every.withColumn("chunk_id", F.concat_ws("#", "source_name", "external_id", "chunk_index")).withColumnRenamed("chunk", "text")
+        return named.select("source_name", "chunk_id", "external_id", "title", "text", "privacy_level")
+
+    def chunks(self) -> DataFrame:
+        return self._table("chunks")
+
+    def _found(self, hits: DataFrame, *columns: str) -> DataFrame:
+        """``hits`` (chunk_id, of a bounded number) with columns of their chunks, of which no others are read."""
+        top = hits.collect()
+        hits = self.spark.createDataFrame(top, hits.schema)
+        chunks = self.chunks().where(F.col("chunk_id").isin([r.chunk_id for r in top]))
+        return F.broadcast(hits).join(chunks.select("chunk_id", *columns), "chunk_id")
 
     def search(self, query: str, mode: str = "normal", limit: int | None = None, source: str | None = None, personal_only: bool = False, public_only: bool = False, vector_hits: DataFrame | None = None) -> DataFrame:
         """source_name, title, score, rank and snippet. ``vector_hits`` (source_name, title, rank) are fused in."""
         limit = limit or fts.LIMITS[mode]
-        chunks = self.chunks()
-        hits = fts.search(chunks, query, 2 * limit, ("text", "title"), "chunk_id", self._visible(source, personal_only, public_only))
-        named = hits.join(chunks.select("chunk_id", "source_name", "title", "text"), "chunk_id")
+        named = self._hits(query, 2 * limit, source, personal_only, public_only)
         fused = retrieval.hybrid(named, vector_hits, ["source_name", "title"], limit) if vector_hits is not None else None
         first = named.groupBy("source_name", "title").agg(F.max("score").alias("score"), F.min_by("text", "rank").alias("text"))
         if fused is None:
             return fts.ranked(first.select("source_name", "title", "score", snippet(F.col("text")).alias("snippet")), "score", ["source_name", "title"], limit)
         return fused.join(first.select("source_name", "title", snippet(F.col("text")).alias("snippet")), ["source_name", "title"], "left").orderBy("rank")
 
+    def _hits(self, query: str, limit: int, source: str | None, personal_only: bool, public_only: bool) -> DataFrame:
+        """chunk_id, score, rank, source_name, title and text of the best chunks by the full-text index."""
+        try:
+            hits = fts.search_index(self.spark, f"{self.folder}/fts", query, limit, ("text", "title"), "chunk_id", self._visible(source, personal_only, public_only))
+        except AnalysisException:  # nothing was written yet
+            hits = self.spark.createDataFrame([], "chunk_id string, score double, rank int")
+        return self._found(hits, "source_name", "title", "text")
+
+    def search_all(self, query: str, limit: int = 20, source: str | None = None, personal_only: bool = False, public_only: bool = False, weights: Sequence[float] = (1.0, 1.0, 1.0), expand: bool = False) -> DataFrame:
+        """source_name, title, score and rank by full text, vectors and exact substring, fused by rank.
+
+        With ``expand`` the query also asks for the entities most related to those it names.
+        """
+        asked = query
+        if expand:
+            words = [w for c in fts.parse(query, ("text", "title")).clauses for w in c.words]
+            near = [r.object_name for w in words for r in self._related(w, 3)]
+            asked = " ".join([query, *(f'"{n}"^0.5' if " " not in n else f'"{n}"' for n in near)])
+        text = self._hits(asked, 2 * limit, source, personal_only, public_only).select("source_name", "title", "rank")
+        vector = self.vector_search(query, 2 * limit, source, personal_only, public_only).select("source_name", "title", "rank")
+        holds = self.substring(query, 2 * limit, self._visible(source, personal_only, public_only))
+        exact = holds.select(F.substring_index("document", ":", 1).alias("source_name"), "title", F.expr("row_number() over (order by document)").alias("rank"))
+        return retrieval.fuse([text, vector, exact], ["source_name", "title"], limit, weights=weights)
+
+    def _related(self, name: str, limit: int) -> list:
+        entity = graph.find_entity(self.entities(), name).first()
+        if entity is None:
+            return []
+        return graph.relations_from(self._table("relations"), self.entities(), entity.id).groupBy("object_name").count().orderBy(F.desc("count"), "object_name").limit(limit).collect()
+
     def ask(self, skill: str, question: str) -> DataFrame:
         """A search by one of SKILLS: an answer, hits, or hits gathered by source."""
         how = SKILLS[skill]
@@ -182,24 +294,35 @@ class KnowledgeBase:
         return hits
 
     def embed(self, model: Callable | None = None) -> DataFrame:
-        """chunk_id, source_name, title, vector and privacy_level of every chunk, by a given or the bundled embedder."""
-        from almanac.functions.registry import embed_text
+        """chunk_id, source_name, title, vector and privacy_level of every chunk, by a given or the bundled embedder.
 
-        return self.chunks().select("chunk_id", "source_name", "title", (model or embed_text)("text").alias("vector"), "privacy_level")
+        A given embedder's vectors are put in place of those that are kept; ``vector_search`` then needs its questions'.
+        """
+        if model is not None:
+            made = self.chunks().select("source_name", "chunk_id", "title", model("text").alias("vector"), "privacy_level")
+            self._write("vectors", made)
+        return self._table("vectors")
+
+    def vector_search(self, question: str, limit: int = 20, source: str | None = None, personal_only: bool = False, public_only: bool = False, asked: Sequence[float] | None = None) -> DataFrame:
+        """source_name, title, score and rank of the nearest chunks' documents, by the kept vectors.
 
-    def vector_search(self, question: str, limit: int = 20, source: str | None = None, personal_only: bool = False, public_only: bool = False) -> DataFrame:
-        """source_name, title, score and rank of the nearest chunks' documents, by the bundled embedder."""
+        ``asked`` is the question's vector; the bundled embedder's if none is given.
+        """
         from almanac.functions.registry import hashed_vector
 
-        asked, chunks = hashed_vector(question), self.embed()
+        asked, rows = hashed_vector(question) if asked is None else asked, self._table("vectors")
         if asked is None:
-            return chunks.select("source_name", "title", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).where("1 = 0")
-        hits = retrieval.vector_search(chunks, asked, limit, "chunk_id", "vector", self._visible(source, personal_only, public_only))
-        return hits.join(chunks.select("chunk_id", "source_name", "title"), "chunk_id").select("source_name", "title", "score", "rank").orderBy("rank")
+            return rows.select("source_name", "title", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).where("1 = 0")
+        hits = retrieval.vector_search(rows, asked, limit, "chunk_id", "vector", self._visible(source, personal_only, public_only))
+        return self._found(hits, "source_name", "title").select("source_name", "title", "score", "rank").orderBy("rank")
 
-    def substring(self, pattern: str, limit: int = 10) -> DataFrame:
+    def substring(self, pattern: str, limit: int = 10, where: Column | None = None) -> DataFrame:
+        """document, byte position, context and title of documents that hold the literal, verified on candidates by trigrams."""
         rows = self.content().withColumn("document", F.concat_ws(":", "source_name", "external_id"))
-        return retrieval.substring_hits(rows, pattern, limit, "document")
+        rows = rows if where is None else rows.where(where)
+        if len(pattern) >= 3:
+            rows = rows.join(retrieval.trigram_candidates(self._table("trigrams"), pattern, "document"), "document", "left_semi")
+        return retrieval.substring_hits(rows, pattern, limit, "document", carry=("title",))
 
     def read(self, reference: str, section: str | None = None) -> str:
         """The text of ``source:document``, or one section of it."""
@@ -213,26 +336,54 @@ class KnowledgeBase:
     # Entities
 
     def mentions(self) -> DataFrame:
-        rows = self.content().withColumn("document_id", F.concat_ws(":", "source_name", "external_id"))
-        return graph.mentions_of(rows, wikilinks(F.col("text")), key="document_id", source=F.col("source_name"))
+        return self._table("mentions").unionByName(self._table("named"))
+
+    def entities(self) -> DataFrame:
+        """Entities of all sources: a name is the first of its spellings, counts are summed."""
+        return self._table("entities").groupBy("id").agg(
+            F.min("canonical_name").alias("canonical_name"), F.first("description", ignorenulls=True).alias("description"), F.min("entity_types").alias("entity_types"), F.sum("mention_count").alias("mention_count")
+        )
+
+    def _known(self, name: str) -> tuple[DataFrame, DataFrame]:
+        """All entities, and the relations that go out from the one of that name."""
+        entities = self.entities()
+        found = graph.find_entity(entities, name).first()
+        return entities, self._table("relations").where(F.col("subject_id") == (found.id if found else ""))
 
     def entity(self, name: str) -> DataFrame:
-        mentions = self.mentions()
+        entities, relations = self._known(name)
         titles = self.content().select(F.concat_ws(":", "source_name", "external_id").alias("document_id"), "title")
-        return graph.entity_card(graph.entities_of(mentions), graph.cooccurrences(mentions), mentions, titles, name)
+        return graph.entity_card(entities, relations, self.mentions(), titles, name)
 
     def suggest(self, prefix: str, limit: int = 5) -> DataFrame:
-        return graph.prefix_search(graph.entities_of(self.mentions()), prefix, limit)
+        return graph.prefix_search(self.entities(), prefix, limit)
 
     def lookup(self, question: str) -> DataFrame:
         """A fact (answer), or else the best three search results."""
-        mentions = self.mentions()
-        fact = graph.fact_lookup(graph.entities_of(mentions), graph.cooccurrences(mentions), question)
+        entities, relations = self._known(graph.parse_fact(question)[1])
+        fact = graph.fact_lookup(entities, relations, question)
         return fact if not fact.isEmpty() else self.search(question, limit=3).select(F.concat("title", F.lit(": "), "snippet").alias("answer"))
 
-    def enrich(self, step: str, limit: int = 0) -> DataFrame:
+    def enrich(self, step: str, limit: int = 0, source: str | None = None) -> DataFrame:
+        """document_id and answer of what the model answered, which is kept: added to the document as a section and
+        indexed with it, or as entities of the document.
+        """
         rows = self.content().withColumn("document_id", F.concat_ws(":", "source_name", "external_id"))
-        return enrich.enrich(rows, step, self.model, "document_id", limit=limit)
+        rows = rows if source is None else rows.where(F.col("source_name") == source)
+        answers = cut_lineage(enrich.enrich(rows, step, self.model, "document_id", limit=limit).where("answer <> ''"))
+        touched = rows.join(answers, "document_id", "left_semi").select("source_name").distinct()
+        for name in sorted(r.source_name for r in touched.collect()):
+            own = self.content().where(F.col("source_name") == name).withColumn("document_id", F.concat_ws(":", "source_name", "external_id"))
+            if step in enrich.SECTIONS:
+                added = F.concat("text", F.lit(f"\n\n## {enrich.SECTIONS[step]}\n\n"), "answer")
+                joined = own.join(answers, "document_id", "left").withColumn("text", F.coalesce(added, "text"))
+                self._replace(name, joined.withColumns({"content_hash": content_hash(F.coalesce("text", F.lit(""))), "content_size": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")}))
+            else:
+                named = enrich.entities_from(answers.join(own.select("document_id"), "document_id", "left_semi"), "document_id")
+                known = self._table("named").where(F.col("source_name") == name).select("entity_id", "document_id", "mention_text")
+                self._write("named", cut_lineage(named.unionByName(known).dropDuplicates(["entity_id", "document_id"]).withColumn("source_name", F.lit(name))))
+                self._relate(name)
+        return answers
 
     # Archives
 

@@ -24,6 +24,7 @@ def parser() -> argparse.ArgumentParser:
         own.add_argument("--format", required=True, choices=sorted(READERS))
         own.add_argument("--privacy", type=int, choices=range(4))
     verbs.add_parser("delete").add_argument("name")
+    verbs.add_parser("build-index").add_argument("name", nargs="?")
     for verb in ("sources", "status"):
         verbs.add_parser(verb)
     own = verbs.add_parser("search")
@@ -48,6 +49,7 @@ def parser() -> argparse.ArgumentParser:
     own.add_argument("step", choices=sorted(STEPS))
     own.add_argument("--model", default="skip", help='"skip", or JSON with kind, url and model')
     own.add_argument("--limit", type=int, default=0)
+    own.add_argument("--source")
     own = verbs.add_parser("export")
     own.add_argument("path")
     own.add_argument("--include-personal", action="store_true")
@@ -68,6 +70,8 @@ def main(argv: Sequence[str] | None = None, kb: KnowledgeBase | None = None) ->
         said = kb.update_source(given.name, given.raw, given.format, given.privacy)
     elif given.verb == "delete":
         kb.delete(given.name)
+    elif given.verb == "build-index":
+        kb.build_index(given.name)
     elif given.verb == "sources":
         said = rows(kb.list_sources())
     elif given.verb == "status":
@@ -86,7 +90,7 @@ def main(argv: Sequence[str] | None = None, kb: KnowledgeBase | None = None) ->
         said = rows(kb.substring(given.pattern, given.limit))
     elif given.verb == "enrich":
         kb.model = backend(given.model if given.model == "skip" else json.loads(given.model))
-        said = rows(kb.enrich(given.step, given.limit))
+        said = rows(kb.enrich(given.step, given.limit, given.source))
     elif given.verb == "export":
         said = {"documents": kb.export(given.path, given.include_personal)}
     elif given.verb == "import":

@@ -43,9 +43,9 @@ def nested_links(text: str | None) -> dict[str, int]:
 
 
 def link_target(inner: str) -> str | None:
-    """The page a link's inside names: before ``|`` and ``#``, without a leading colon; None for files and the like."""
-    target = inner.split("|", 1)[0].split("#", 1)[0].strip().removeprefix(":").strip()
-    if not target or len(target.encode()) > 200 or re.match(r"(?i)(?:file|image|category):", target):
+    """The page a link's inside names: before ``|`` and ``#``; None for files and the like, and after a leading colon."""
+    target = inner.split("|", 1)[0].split("#", 1)[0].strip()
+    if inner.strip().startswith(":") or not target or len(target.encode()) > 200 or re.match(r"(?i)(?:file|image|category):", target):
         return None
     return target
 

@@ -59,10 +59,11 @@ def links(html: Column) -> Column:
 
 
 def wikilinks(text: Column) -> Column:
-    """Targets of flat ``[[target|label]]`` links, cut at ``#``, without files, images and categories, in order."""
-    inner = F.regexp_extract_all(text, F.lit(r"\[\[([^\[\]]+)\]\]"), F.lit(1))
+    """Targets of flat ``[[target|label]]`` links, cut at ``#``, in order; no files, images, categories, nor links that
+    begin with a colon, which lead to other wikis.
+    """
+    inner = F.filter(F.regexp_extract_all(text, F.lit(r"\[\[([^\[\]]+)\]\]"), F.lit(1)), lambda x: ~F.ltrim(x).startswith(":"))
     target = F.transform(inner, lambda x: F.trim(F.substring_index(F.substring_index(x, "|", 1), "#", 1)))
-    target = F.transform(target, lambda x: F.when(x.startswith(":"), F.substring(x, 2, 10_000)).otherwise(x))
     return F.filter(target, lambda x: (x != "") & (F.octet_length(x) <= 200) & ~F.lower(x).rlike("^(?:file|image|category):"))
 
 
@@ -108,14 +109,33 @@ def extracted_title(text: Column, fallback: Column) -> Column:
     return F.when((F.octet_length(line) < 200) & ~line.endswith("."), line).otherwise(fallback)
 
 
+def without_templates(text: Column) -> Column:
+    """What stands outside of ``{{...}}``, which may hold others at any depth; an open one swallows nothing.
+
+    One pass over the marks keeps how deep it is and what it has kept; an unclosed template's text is put back.
+    """
+    parts = F.split(F.regexp_replace(text, r"(\{\{|\}\})", "\0$1\0"), "\0")
+    state = lambda depth, kept, held: F.struct(depth.cast("int").alias("depth"), kept.cast("array<string>").alias("kept"), held.cast("array<string>").alias("held"))
+
+    def step(s: Column, part: Column) -> Column:
+        opens, closes, inside = part == "{{", (part == "}}") & (s["depth"] > 0), s["depth"] > 0
+        depth = s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        held = F.when(opens | inside, F.concat(s["held"], F.array(part))).otherwise(s["held"])
+        done = closes & (s["depth"] == 1)
+        return state(depth, F.when(opens | inside, s["kept"]).otherwise(F.concat(s["kept"], F.array(part))), F.when(done, F.array().cast("array<string>")).otherwise(held))
+
+    read = lambda ps: F.aggregate(ps, state(F.lit(0), F.array(), F.array()), step, lambda s: F.array_join(F.concat(s["kept"], s["held"]), ""))
+    return F.when(F.contains(text, F.lit("{{")), read(parts)).otherwise(text)
+
+
 def wikitext_to_markdown(text: Column) -> Column:
-    """Headings, links, emphasis and references of flat wikitext; templates are dropped from the inside out."""
-    for _ in range(3):
-        text = F.regexp_replace(text, r"\{\{[^{}]*\}\}", "")
+    """Headings, lists, links, emphasis and references of wikitext; templates are dropped, however deep they go."""
+    text = without_templates(text)
     text = F.regexp_replace(text, r"(?s)<ref[^>/]*/>|<ref[^>]*>.*?</ref>|<!--.*?-->", "")
-    for level in (4, 3, 2):
+    for level in (6, 5, 4, 3, 2):
         mark = "=" * level
         text = F.regexp_replace(text, rf"(?m)^{mark}\s*([^=\n]+?)\s*{mark}\s*$", "#" * level + " $1")
+    text = F.regexp_replace(text, r"(?m)^\*\s*(?=\S)", "- ")
     text = F.regexp_replace(text, r"\[\[(?:File|Image|Category):[^\[\]]*\]\]", "")
     text = F.regexp_replace(text, r"\[\[[^\[\]|]*\|([^\[\]]*)\]\]", "$1")
     text = F.regexp_replace(text, r"\[\[([^\[\]]*)\]\]", "$1")

@@ -53,12 +53,14 @@ def backend(spec: dict | str) -> Backend:
     return Skip() if spec in ("skip", None) else HttpBackend(**spec)
 
 
-#: step: how much of the text goes into its prompt, in bytes, and the prompt. Fixed values.
+#: step: how much of the text goes into its prompt, in bytes, and the prompt.
 STEPS = {
-    "summarize": (2000, "Summarize the following text in two or three sentences:\n\n{text}"),
-    "image_describe": (500, "Describe the image that this record is about:\n\n{text}"),
-    "extract_entities": (2000, "List the named entities of the following text, one on each line:\n\n{text}"),
+    "summarize": (2000, "You shorten reference articles. Say briefly, in plain words, what the article below is about and what matters in it.\n\nArticle:\n{text}"),
+    "image_describe": (500, "Below is what a camera recorded beside a picture. Tell a reader in a single sentence what it reveals of place, time and subject.\n\nRecord:\n{text}"),
+    "extract_entities": (2000, "Which persons, organisations and places does the article below mention? Answer with their names alone, each on its own line.\n\nArticle:\n{text}"),
 }
+#: Under which heading a step's answer is added to its document.
+SECTIONS = {"summarize": "Summary", "image_describe": "Description"}
 
 
 def prefix(text: str, size: int) -> str:

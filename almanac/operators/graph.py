@@ -31,9 +31,13 @@ def entities_of(mentions: DataFrame, entity_type: str = "Concept") -> DataFrame:
     )
 
 
-def cooccurrences(mentions: DataFrame) -> DataFrame:
-    """Relations ``co_occurs_with`` between entities of one document, the smaller id as subject, one for each document."""
-    a = mentions.select("document_id", "source_name", F.col("entity_id").alias("subject_id"))
+def cooccurrences(mentions: DataFrame, subjects: DataFrame | None = None) -> DataFrame:
+    """Relations ``co_occurs_with`` between entities of one document, the smaller id as subject, one for each document.
+
+    With ``subjects`` (id) only theirs, from the documents that mention them.
+    """
+    own = mentions if subjects is None else mentions.join(subjects.select(F.col("id").alias("entity_id")), "entity_id", "left_semi")
+    a = own.select("document_id", "source_name", F.col("entity_id").alias("subject_id"))
     b = mentions.select("document_id", F.col("entity_id").alias("object_id"))
     pairs = a.join(b, "document_id").where("subject_id < object_id")
     return pairs.select("subject_id", F.lit("co_occurs_with").alias("predicate"), "object_id", "source_name", F.lit(0.5).alias("confidence"))
@@ -121,7 +125,9 @@ def hops(relations: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
 
     Breadth first: each round joins the frontier only, and what was reached before is taken out of it.
     """
-    edges = relations.select("subject_id", "object_id").distinct()
+    from almanac.session import cut_lineage
+
+    edges = cut_lineage(relations.select("subject_id", "object_id").distinct())
     frontier = starts.select(F.col("id").alias("start"), F.col("id").alias("node")).distinct()
     reached = None
     for distance in range(1, depth + 1):
@@ -129,12 +135,41 @@ def hops(relations: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
         step = step.where("start <> node")
         if reached is not None:
             step = step.join(reached, ["start", "node"], "left_anti")
-        found = step.withColumn("distance", F.lit(distance))
+        # each round is written, so that the plan doesn't double with the next
+        found = cut_lineage(step.withColumn("distance", F.lit(distance))) if depth > 2 else step.withColumn("distance", F.lit(distance))
         reached = found if reached is None else reached.unionByName(found)
-        frontier = step
+        frontier = found.select("start", "node")
     return reached
 
 
+def shortest_path(relations: DataFrame, start: str, end: str, depth: int = 6) -> list[str] | None:
+    """Nodes of a shortest directed path of at most ``depth`` edges, the first by id at each step; None if there is none.
+
+    Breadth first from the start; each round keeps for a node the smallest of those it was reached from.
+    """
+    from almanac.session import cut_lineage
+
+    if start == end:
+        return [start]
+    edges = relations.select("subject_id", "object_id").where("subject_id <> object_id").distinct()
+    spark = relations.sparkSession
+    seen = frontier = spark.createDataFrame([(start, None)], "node string, came string")
+    for _ in range(depth):
+        step = edges.join(frontier.select(F.col("node").alias("subject_id")), "subject_id").groupBy(F.col("object_id").alias("node")).agg(F.min("subject_id").alias("came"))
+        frontier = cut_lineage(step.join(seen, "node", "left_anti"))
+        if frontier.isEmpty():
+            return None
+        seen = seen.unionByName(frontier)
+        if not frontier.where(F.col("node") == end).isEmpty():
+            break
+    else:
+        return None
+    path = [end]
+    while path[-1] != start:  # as many steps as the path has
+        path.append(seen.where(F.col("node") == path[-1]).first().came)
+    return path[::-1]
+
+
 def degree_centrality(relations: DataFrame) -> DataFrame:
     """id, degree (edges in and out) and centrality, the degree's share of the largest."""
     ends = relations.select(F.explode(F.array("subject_id", "object_id")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))

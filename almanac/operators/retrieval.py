@@ -20,11 +20,11 @@ def substring_count(docs: DataFrame, pattern: str, text_col: str = "text") -> Da
     return found.agg(F.count("*").alias("n_documents"), F.coalesce(F.sum(occurrences(F.col(text_col), pattern)), F.lit(0)).alias("n_occurrences"))
 
 
-def substring_hits(docs: DataFrame, pattern: str, limit: int | None = 10, key: str = "doc_id", text_col: str = "text", context: int = 60) -> DataFrame:
+def substring_hits(docs: DataFrame, pattern: str, limit: int | None = 10, key: str = "doc_id", text_col: str = "text", context: int = 60, carry: Sequence[str] = ()) -> DataFrame:
     """key, byte position of the first occurrence and its context, one hit a document, smallest keys first.
 
     The context has ``context`` characters on either side, never beyond the document, line breaks and NULs as spaces,
-    dots where it is cut. Case matters.
+    dots where it is cut. Case matters. ``carry`` names further columns that hits have.
     """
     text, at = F.col(text_col), F.col("_at")
     found = docs.where(F.contains(text, F.lit(pattern)) if pattern else F.lit(False)).withColumn("_at", F.locate(pattern, text))
@@ -32,7 +32,7 @@ def substring_hits(docs: DataFrame, pattern: str, limit: int | None = 10, key: s
     end = F.least(F.char_length(text), at + len(pattern) - 1 + context)
     cut = F.translate(F.substring(text, begin, end - begin + 1), "\n\r\0", "   ")
     shown = F.concat(F.when(begin > 1, "...").otherwise(""), F.btrim(cut), F.when(end < F.char_length(text), "...").otherwise(""))
-    hits = found.select(key, F.octet_length(F.left(text, at - 1)).cast("long").alias("byte_position"), shown.alias("context"))
+    hits = found.select(key, *carry, F.octet_length(F.left(text, at - 1)).cast("long").alias("byte_position"), shown.alias("context"))
     return hits if limit is None else hits.orderBy(key).limit(limit)
 
 

@@ -21,9 +21,9 @@ class Catalogue(dict[str, tuple[Query, str | None]]):
 
 
 def everything() -> Catalogue:
-    from almanac.plans import corpus, entities, movement, search, streams
+    from almanac.plans import corpus, entities, movement, readers, search, streams
 
     found = Catalogue()
-    for module in (search, corpus, entities, streams, movement):
+    for module in (search, corpus, entities, streams, movement, readers):
         found |= module.CATALOGUE
     return found

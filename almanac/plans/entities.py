@@ -61,7 +61,8 @@ def entity_prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     select id, canonical_name, mention_count, (select string_agg(title, '|' order by title) from d) as documents, cast((select n from r) as integer) as n_relations from e""")
 def entity_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     mentions = _mentions(spark, sf_dir)
-    card = graph.entity_card(graph.entities_of(mentions), graph.cooccurrences(mentions), mentions, _page_titles(spark, sf_dir), "THE")
+    entities = graph.entities_of(mentions)
+    card = graph.entity_card(entities, graph.cooccurrences(mentions, graph.find_entity(entities, "THE")), mentions, _page_titles(spark, sf_dir), "THE")
     return card.select("id", "canonical_name", "mention_count", F.array_join("documents", "|").alias("documents"), F.coalesce(F.size("relations"), F.lit(0)).alias("n_relations"))
 
 

@@ -76,18 +76,24 @@ def fts_two_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(fts.search(pages, fts.words_query("the aian onion"), 10, ("title", "body"), "page_id"))
 
 
-@CATALOGUE.add(bm25_sql("select * from documents", "aian the", having=f"doc_id not in (select doc_id from toks where list_contains(toks, 'of')) and doc_id in (select doc_id from toks where list_contains(toks, 'aian'))", limit=None))
+MUST_NOT_SQL = bm25_sql("select * from documents", "aian the", having=f"doc_id not in (select doc_id from toks where list_contains(toks, 'of')) and doc_id in (select doc_id from toks where list_contains(toks, 'aian'))", limit=None)
+
+
+@CATALOGUE.add(MUST_NOT_SQL)
 def fts_boolean_must_not(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(fts.search(_documents(spark, sf_dir), "the +aian -of", None))
 
 
-@CATALOGUE.add(f"""
+PHRASE_SQL = f"""
     with toks as (select doc_id, {tokens_sql("text")} toks from documents),
     st as (select count(*) n, avg(len(toks)) av from toks),
     df as (select sum(list_contains(toks, 'of')::int) d1, sum(list_contains(toks, 'the')::int) d2 from toks),
     tf as (select doc_id, len(toks) dl, len(list_filter(range(1, len(toks)), lambda i: toks[i] = 'of' and toks[i + 1] = 'the')) tf from toks),
     sc as (select doc_id, round((ln(1 + (n - d1 + 0.5) / (d1 + 0.5)) + ln(1 + (n - d2 + 0.5) / (d2 + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av)), 6) score from tf, st, df where tf > 0)
-    select doc_id, score, cast(row_number() over (order by score desc, doc_id) as integer) as rank from sc""")
+    select doc_id, score, cast(row_number() over (order by score desc, doc_id) as integer) as rank from sc"""
+
+
+@CATALOGUE.add(PHRASE_SQL)
 def fts_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(fts.search(_documents(spark, sf_dir), '"of the"', None))
 

@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame
 
 from almanac.api import KnowledgeBase
 
-_STRING, _INTEGER = {"type": "string"}, {"type": "integer"}
+_STRING, _INTEGER, _SWITCH = {"type": "string"}, {"type": "integer"}, {"type": "boolean"}
 #: name: (what it does, parameters, required ones). Fixed values.
 TOOLS = {
-    "search": ("Full-text search", {"query": _STRING, "limit": _INTEGER, "source": _STRING}, ["query"]),
-    "read": ("A document, or one section of it", {"reference": _STRING, "section": _STRING}, ["reference"]),
-    "entity": ("An entity's card", {"name": _STRING}, ["name"]),
+    "search": ("Full-text search", {"query": _STRING, "limit": _INTEGER, "source": _STRING, "personal_only": _SWITCH, "public_only": _SWITCH}, ["query"]),
+    "read": ("A document, or one section of it", {"source": _STRING, "doc_id": _STRING, "section": _STRING}, ["source", "doc_id"]),
+    "entity": ("An entity's card", {"name": _STRING, "relations": _SWITCH, "documents": _SWITCH}, ["name"]),
     "sources": ("All sources", {}, []),
     "status": ("Documents and bytes by source and type", {}, []),
 }
@@ -31,11 +31,15 @@ def rows(df: DataFrame) -> list[dict]:
 
 def call(kb: KnowledgeBase, tool: str, given: dict) -> object:
     if tool == "search":
-        return rows(kb.search(given["query"], limit=int(given.get("limit") or 20), source=given.get("source")))
+        return rows(kb.search(given["query"], limit=int(given.get("limit") or 20), source=given.get("source"), personal_only=bool(given.get("personal_only")), public_only=bool(given.get("public_only"))))
     if tool == "read":
-        return kb.read(given["reference"], given.get("section"))
+        reference = f"{given['source']}:{given['doc_id']}" if "doc_id" in given else given["reference"]
+        return kb.read(reference, given.get("section"))
     if tool == "entity":
         found = rows(kb.entity(given["name"]))
+        for part in ("relations", "documents"):
+            if found and given.get(part) is False:
+                found[0].pop(part, None)
         return found[0] if found else {"error": "not found", "suggestions": [r["canonical_name"] for r in rows(kb.suggest(given["name"]))]}
     if tool == "sources":
         return rows(kb.list_sources())

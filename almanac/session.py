@@ -45,11 +45,13 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``; a local one only where that
-    is unset, as in tests.
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``; one on this machine only
+    where that is unset and all executors are in this process, as in tests.
     """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="almanac-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

@@ -35,6 +35,11 @@ def delimited(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, sep="\t" if path.endswith(".tsv") else ",", inferSchema=True)
 
 
+def query_delimited(spark: SparkSession, path: str, sql: str) -> DataFrame:
+    """What SQL says of a table in a delimited file, which it calls ``{rows}``."""
+    return spark.sql(sql, rows=delimited(spark, path))
+
+
 #: What a chat export's messages hold; ``text`` is a string, or an array of strings and objects with a text.
 CHAT = "name string, messages array<struct<id:bigint,type:string,date:string,`from`:string,text:string,reply_to_message_id:bigint,edited:string>>"
 

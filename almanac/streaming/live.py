@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -88,5 +89,5 @@ def watch_files(spark: SparkSession, folder: str, apply: Callable[[DataFrame, in
     """
     stream = spark.readStream.option("pathGlobFilter", pattern).option("maxFilesPerTrigger", max_files).text(folder, wholetext=True)
     named = stream.select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"), F.col("_metadata.file_modification_time").alias("modified"))
-    writer = named.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint or f"{shared_folder(spark)}/watch-{abs(hash(folder))}")
+    writer = named.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint or f"{shared_folder(spark)}/watch-{hashlib.sha256(f'{folder}|{pattern}'.encode()).hexdigest()[:16]}")
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()

@@ -60,3 +60,51 @@ def test_update_delete_export_import(base, spark):
     assert other.search("roads").count() == 1
     kb.delete("diary")
     assert [r.source_name for r in kb.list_sources().collect()] == ["wiki"] and kb.status().count() == 3
+
+
+def saying(answer):
+    class Says:  # here, so that it goes to the workers with what it says
+        def complete(self, prompt):
+            return answer
+
+    return Says()
+
+
+def test_answers_are_kept(base):
+    kb = base[0]
+    kb.model = saying("Zanzibar is mentioned")
+    assert kb.enrich("summarize", source="wiki").count() == 2
+    assert kb.read("wiki:Paris", "Summary") == "## Summary\n\nZanzibar is mentioned"
+    assert kb.search("zanzibar").count() == 2 and kb.search("walk").count() == 1
+    kb.model = saying("- Old Town\n- Seine Bank")
+    assert kb.enrich("extract_entities", source="diary").count() == 1
+    assert kb.entity("old town").first().documents == ["d1"]
+    assert kb.entity("seine").first().mention_count == 2
+
+
+def test_verbs_read_what_was_derived(base):
+    kb = base[0]
+    assert kb.chunks().where("source_name = 'wiki'").count() == 4 and kb.embed().count() == 5
+    before = sorted(map(tuple, kb.search("river").collect()))
+    kb.build_index()
+    assert sorted(map(tuple, kb.search("river").collect())) == before
+    assert [r.title for r in kb.search('+river -walk').collect()] == ["Paris"]
+    assert {r.title for r in kb.search('"river runs"').collect()} == {"Paris"}
+    fused = kb.search_all("river", expand=True).collect()
+    assert {r.title for r in fused} >= {"Paris", "d1"} and fused[0]["rank"] == 1
+    kb.delete("wiki")
+    assert kb.search("river").count() == 1 and kb.mentions().count() == 0 and kb.embed().count() == 1 and kb.substring("river").count() == 1
+
+
+def test_an_empty_base(spark, tmp_path):
+    kb = KnowledgeBase(spark, str(tmp_path / "none"))
+    assert kb.search("x").count() == 0 and kb.entity("x").count() == 0 and kb.lookup("x of y").count() == 0 and kb.substring("abc").count() == 0 and kb.vector_search("x").count() == 0
+
+
+def test_odd_source_names(base, spark):
+    kb = base[0]
+    for name in ("2024", "a b/c=d"):
+        kb.add_documents(name, spark.createDataFrame([("n1", "lighthouse keeper")], "external_id string, text string"))
+        assert {h.source_name for h in kb.search("lighthouse").collect()} == {name}
+        kb.delete(name)
+        assert kb.search("lighthouse").count() == 0

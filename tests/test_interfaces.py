@@ -27,7 +27,7 @@ def kb(spark, tmp_path_factory):
 
 
 def test_nested_links():
-    assert registry.nested_links("[[a|b]] [[a#c]] [[File:x|[[inner]] text]] [[:Paris]] [[ ]] [[open") == {"a": 2, "Paris": 1}
+    assert registry.nested_links("[[a|b]] [[a#c]] [[File:x|[[inner]] text]] [[:Paris]] [[ ]] [[open") == {"a": 2}
     assert registry.nested_links(None) == {} and registry.nested_links("[[a [[b]] c]]") == {"a [[b]] c": 1}
 
 

@@ -33,6 +33,34 @@ def test_index_equals_scan(spark, docs, tmp_path):
         assert sorted(map(tuple, fts.search_index(spark, str(tmp_path), words, 3).collect())) == sorted(map(tuple, scan))
 
 
+@pytest.mark.parametrize("query", ["red fish", "+red -blue moon", '"red fish"', '"blue moon"^2 one', "text:red title:b", 'title:"b c" red', "-red", "+absent red", "red AND fish", "red NOT blue"])
+def test_index_says_what_the_scan_says(spark, docs, tmp_path, query):
+    two = docs.select("doc_id", "text", F.concat(F.lit("a b c "), F.substring("text", 1, 7)).alias("title"), (F.col("doc_id") % 2).alias("half"))
+    fields = ("text", "title")
+    fts.build_index(two, str(tmp_path), fields, keep=("half",), buckets=3)
+    for where in (None, F.col("half") == 1):
+        for limit in (2, None):
+            scan = fts.search(two, query, limit, fields, where=where).collect()
+            assert sorted(map(tuple, fts.search_index(spark, str(tmp_path), query, limit, fields, where=where).collect())) == sorted(map(tuple, scan))
+
+
+def test_ranks_without_a_limit(spark):
+    rows = [(i, float(i * 7 % 10)) for i in range(500)]
+    found = fts.ranked(spark.createDataFrame(rows, "k long, score double").repartition(7), "score", ["k"], None).collect()
+    expected = {k: n for n, (k, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1)}
+    assert {r.k: r["rank"] for r in found} == expected
+    assert fts.ranked(spark.createDataFrame([], "k long, score double"), "score", ["k"], None).count() == 0
+
+
+def test_paths(spark):
+    from almanac.operators import graph
+
+    edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e"), ("e", "a"), ("x", "x")], "subject_id string, object_id string")
+    assert graph.shortest_path(edges, "a", "e") == ["a", "b", "d", "e"]
+    assert graph.shortest_path(edges, "b", "a") == ["b", "d", "e", "a"]
+    assert graph.shortest_path(edges, "a", "x") is None and graph.shortest_path(edges, "a", "e", 2) is None and graph.shortest_path(edges, "x", "x") == ["x"]
+
+
 def test_fusion_adds_every_hit(spark):
     a = spark.createDataFrame([("x", 1), ("y", 2), ("x", 3)], "key string, rank int")
     b = spark.createDataFrame([("y", 1)], "key string, rank int")
@@ -139,7 +167,7 @@ def test_nearby_boxes_lose_nothing(spark):
 def test_enrichment(docs):
     class Echo:
         def complete(self, prompt):
-            return "- Paris\n-  \n" + "x" * 100 + "\nSeine" if "entities" in prompt else None
+            return "- Paris\n-  \n" + "x" * 100 + "\nSeine" if "organisations" in prompt else None
 
     assert enrich.enrich(docs, "summarize", enrich.Skip()).count() == 0
     answers = enrich.enrich(docs, "extract_entities", Echo(), limit=2)
