@@ -4,8 +4,8 @@ A text is cut into chunks that overlap, and each chunk is pre-tokenised by itsel
 pre-token begins does not depend on what stands before it, so two neighbours that both begin a pre-token at one place
 of their overlap agree from there on. The texts are stitched at the first such place, the pieces are encoded by the
 rank file's merges, and the ids of all pieces follow one another. A text without such a place in an overlap (a run of
-one kind of character longer than it) is pre-tokenised again across that seam. Texts up to one chunk need no stitching
-and are encoded where they are read; only longer ones travel.
+one kind of character longer than it) is pre-tokenised again across that seam. A text of one chunk has no seam to find,
+so it is pre-tokenised and encoded where it is read; only texts of several chunks travel.
 
 Decoding joins the bytes of the ids. Special tokens are ordinary text.
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterable
 from functools import lru_cache
 
@@ -92,21 +93,37 @@ def _loaded(content: bytes, pattern: str) -> Vocabulary:
 
 
 def stitch(chunks: list[tuple[int, str, list[int]]], vocabulary: Vocabulary) -> Iterable[str]:
-    """The pre-tokens of the whole text of chunks (where it stands, text, pre-token starts), in order."""
-    pieces_from = 0
+    """The pre-tokens of the whole text of chunks (where it stands, text, pre-token starts), in order.
+
+    Where neighbours have no start in common, the text from the last certain start on is pre-tokenised again together
+    with as many chunks as double it, so a run of any length is read a bounded number of times.
+    """
+    pieces_from, at_chunk = 0, 1
     base, text, starts = chunks[0]
-    for next_base, next_text, next_starts in chunks[1:]:
-        common = set(next_starts)
-        seam = next((s for s in starts if s >= max(next_base, pieces_from) and s in common), None)
-        if seam is None:  # pre-tokenise across the seam, from the last place that is certain
-            at = max((s for s in starts if pieces_from <= s < next_base), default=pieces_from)
-            yield from _cut(base, text, [s for s in starts if pieces_from <= s < at], at)
-            text = text[at - base : next_base - base] + next_text
-            base, pieces_from = at, at
-            starts = vocabulary.starts(text, base, False)
+    while at_chunk < len(chunks):
+        next_base, next_text, next_starts = chunks[at_chunk]
+        low, common = bisect_left(starts, max(next_base, pieces_from)), set(next_starts)
+        seam = next((s for s in starts[low:] if s in common), None)
+        if seam is not None:
+            yield from _cut(base, text, starts[bisect_left(starts, pieces_from) : bisect_left(starts, seam)], seam)
+            base, text, starts, pieces_from = next_base, next_text, next_starts, seam
+            at_chunk += 1
             continue
-        yield from _cut(base, text, [s for s in starts if pieces_from <= s < seam], seam)
-        base, text, starts, pieces_from = next_base, next_text, next_starts, seam
+        certain = bisect_left(starts, next_base)
+        at = starts[certain - 1] if certain and starts[certain - 1] >= pieces_from else pieces_from
+        yield from _cut(base, text, starts[bisect_left(starts, pieces_from) : bisect_left(starts, at)], at)
+        parts, size, goal = [text[at - base : next_base - base]], next_base - at, 2 * (next_base - at)
+        while True:
+            next_base, next_text, _ = chunks[at_chunk]
+            at_chunk += 1
+            if at_chunk == len(chunks) or size + len(next_text) >= goal:
+                parts.append(next_text)
+                break
+            step = chunks[at_chunk][0] - next_base
+            parts.append(next_text[:step])
+            size += step
+        text = "".join(parts)
+        base, pieces_from, starts = at, at, vocabulary.starts(text, at, False)
     end = base + len(text)
     if pieces_from < end:
         yield from vocabulary.pattern.findall(text[pieces_from - base :])

@@ -49,3 +49,25 @@ def test_awkward_rows(spark, awkward):
         expected = sorted((-1 if r.doc_id is None else r.doc_id, lib.encode_ordinary(r.text or "")) for r in awkward.collect())
         assert sorted((-1 if r.doc_id is None else r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in found) == expected
     assert bpe.encode(awkward.where(F.lit(False)), FILE, PATTERN).count() == 0
+
+
+def test_runs_without_a_seam_are_read_a_bounded_number_of_times():
+    content = open(FILE, "rb").read()
+    vocabulary = bpe._loaded(content, PATTERN)
+    read = []
+    for text in ("x " + "a" * 60_000 + " b", "a b " * 20_000, "\n" * 50_000, "a" * 30_000 + "1" * 30_000 + " c"):
+        chunks = [(b, text[b : b + 300 + 30], vocabulary.starts(text[b : b + 330], b, b + 330 >= len(text))) for b in range(0, len(text), 300)]
+        seen = 0
+
+        class Counted:
+            pattern = vocabulary.pattern
+
+            def starts(self, text, base, is_end):
+                nonlocal seen
+                seen += len(text)
+                return vocabulary.starts(text, base, is_end)
+
+        pieces = list(bpe.stitch(chunks, Counted()))
+        assert pieces == vocabulary.pattern.findall(text)
+        read.append(seen / len(text))
+    assert max(read) < 6, read
