@@ -25,7 +25,7 @@ from almanac.operators import enrich, fts, retrieval, storage
 from almanac.plans import Catalogue
 from almanac.plans.search import _PAGE_FIELDS, MUST_NOT_SQL, PHRASE_SQL, VECTOR, WORDS, _HITS_SQL, _ranked, _vector_sql, bm25_sql
 from almanac.session import shared_folder, table
-from almanac.sources import binary, files
+from almanac.sources import binary, files, more
 from almanac.streaming import live
 
 CATALOGUE = Catalogue()
@@ -217,6 +217,90 @@ def read_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.json_lines(spark, path).select("external_id", "title", "text")
 
 
+@CATALOGUE.add("select '/c/en/' || n_name as subject_id, 'PartOf' as predicate, '/c/en/region_' || n_regionkey as object_id, n_regionkey + 0.5::double as confidence from nation")
+def read_concept_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = "\n".join(f"/a/x\t/r/PartOf\t/c/en/{n.n_name}\t/c/en/region_{n.n_regionkey}\t" + json.dumps({"weight": n.n_regionkey + 0.5}) for n in _nations(spark, sf_dir))
+    return more.concept_edges(spark, _put(spark, f"{_folder(spark, 'concepts')}/edges.tsv", rows))
+
+
+_MESSAGES_SQL = "select '{}' as chat, 'P' || n_regionkey as sender, {} as text, 1704103200 + 60 * n_nationkey::bigint as seconds from nation"
+
+
+def _messages(df: DataFrame) -> DataFrame:
+    return df.select("chat", "sender", "text", F.unix_timestamp("ts").alias("seconds"))
+
+
+@CATALOGUE.add(_MESSAGES_SQL.format("trip", "n_name || ': yes' || chr(10) || 'more'"))
+def read_whatsapp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of two lines and with a colon; a notice without a sender is left out."""
+    said = "\n".join(f"1/1/24, 10:{n.n_nationkey:02} - P{n.n_regionkey}: {n.n_name}: yes\nmore" for n in _nations(spark, sf_dir))
+    return _messages(more.whatsapp_messages(spark, _put(spark, f"{_folder(spark, 'whatsapp')}/trip.txt", "1/1/24, 09:00 - Messages are encrypted\n" + said)))
+
+
+@CATALOGUE.add(_MESSAGES_SQL.format("general", "n_name"))
+def read_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _folder(spark, "slack")
+    rows = [{"type": "message", "ts": f"{1704103200 + 60 * n.n_nationkey}.000100", "user": f"P{n.n_regionkey}", "text": n.n_name} for n in _nations(spark, sf_dir)]
+    for day, part in (("2024-01-01", rows[:12]), ("2024-01-02", [*rows[12:], {"type": "join", "ts": "1", "user": "x"}])):
+        _put(spark, f"{folder}/general/{day}.json", json.dumps(part))
+    return _messages(more.slack_messages(spark, folder))
+
+
+@CATALOGUE.add(_MESSAGES_SQL.format("den", "n_name"))
+def read_discord(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [{"timestamp": f"2024-01-01T10:{n.n_nationkey:02}:00+00:00", "author": {"name": f"P{n.n_regionkey}"}, "content": n.n_name} for n in _nations(spark, sf_dir)]
+    return _messages(more.discord_messages(spark, _put(spark, f"{_folder(spark, 'discord')}/den.json", json.dumps({"channel": {"name": "den"}, "messages": rows}))))
+
+
+@CATALOGUE.add("""select 'n' || n_nationkey as external_id, n_name || ', day' as title, '# ' || n_name || ', day' || chr(10) || chr(10) || 'From: 20240101T100000Z' || chr(10) || 'Where: Region ' || n_regionkey || chr(10) || 'About: long and folded' as text from nation""")
+def read_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    event = "BEGIN:VEVENT\r\nUID:n{}\r\nSUMMARY:{}\\, day\r\nDTSTART:20240101T100000Z\r\nLOCATION;LANGUAGE=en:Region {}\r\nDESCRIPTION:long and \r\n folded\r\nEND:VEVENT\r\n"
+    said = "".join(event.format(n.n_nationkey, n.n_name, n.n_regionkey) for n in _nations(spark, sf_dir))
+    path = _put(spark, f"{_folder(spark, 'calendar')}/c.ics", f"BEGIN:VCALENDAR\r\n{said}END:VCALENDAR\r\n")
+    return more.calendar_events(spark, path).select("external_id", "title", "text")
+
+
+@CATALOGUE.add("select 1704103200 + 60 * n_nationkey::bigint as seconds, n_nationkey + 0.25::double as lat, -(n_regionkey + 0.5)::double as lon from nation")
+def read_location_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both clocks that exports have had; a point without a place is left out."""
+    place = lambda n: {"latitudeE7": n.n_nationkey * 10**7 + 2_500_000, "longitudeE7": -(n.n_regionkey * 10**7 + 5_000_000)}
+    clock = lambda k: {"timestamp": f"2024-01-01T10:{k:02}:00Z"} if k % 2 else {"timestampMs": str((1704103200 + 60 * k) * 1000)}
+    rows = [place(n) | clock(n.n_nationkey) for n in _nations(spark, sf_dir)] + [{"timestamp": "2024-01-01T10:00:00Z"}]
+    path = _put(spark, f"{_folder(spark, 'places')}/records.json", json.dumps({"locations": rows}))
+    return more.location_history(spark, path).select(F.unix_timestamp("ts").alias("seconds"), "lat", "lon")
+
+
+@CATALOGUE.add("select 'n:' || n_nationkey as subject_id, 'in' as predicate, 'r:' || n_regionkey as object_id, 'relation' as kind from nation union all select 'n:' || n_nationkey, 'name', n_name, 'fact' from nation union all select 'n:' || n_nationkey, 'name', 'N' || n_nationkey, 'fact' from nation")
+def read_linked_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    node = lambda n: {"@id": f"n:{n.n_nationkey}", "@type": "Nation", "in": {"@id": f"r:{n.n_regionkey}"}, "name": [n.n_name, {"@value": f"N{n.n_nationkey}"}]}
+    nations = list(map(node, _nations(spark, sf_dir)))
+    path = _put(spark, f"{_folder(spark, 'linked')}/n.jsonld", json.dumps({"@graph": nations[:10]}) + "\n" + "\n".join(map(json.dumps, nations[10:])))
+    relations, facts = more.linked_data(spark, path)
+    return relations.withColumn("kind", F.lit("relation")).unionByName(facts.withColumnRenamed("value", "object_id").withColumn("kind", F.lit("fact")))
+
+
+@CATALOGUE.add("select 'nation_' || lpad(cast(row_number() over (order by n_nationkey) - 1 as varchar), 6, '0') as external_id, 'n_nationkey: ' || n_nationkey || chr(10) || 'n_name: ' || n_name as text from nation")
+def read_sqlite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = sqlite3.connect(":memory:")
+    base.execute("create table nation(n_nationkey, n_name, n_void)")
+    base.executemany("insert into nation values (?, ?, null)", [(n.n_nationkey, n.n_name) for n in _nations(spark, sf_dir)])
+    base.commit()
+    folder = _folder(spark, "sqlite")
+    _put(spark, f"{folder}/n.db", base.serialize())
+    return more.sqlite_documents(spark, folder).select("external_id", "text")
+
+
+@CATALOGUE.add("select 'nation_' || n_nationkey || '.epub' as name from nation where n_nationkey % 3 = 0")
+def unreadable_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which files of a folder the reader left out."""
+    folder, data = _folder(spark, "bad"), io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("b.opf", "<package><metadata/><manifest/><spine/></package>")
+    for n in _nations(spark, sf_dir):
+        _put(spark, f"{folder}/nation_{n.n_nationkey}.epub", data.getvalue() if n.n_nationkey % 3 else b"no archive")
+    return binary.unreadable(spark, folder, "epub").select("name")
+
+
 # Stores
 
 

@@ -1,6 +1,6 @@
 """Binary formats, parsed on the executors from ``binaryFile`` rows: books, mail boxes, photographs, papers, histories.
 
-A file that can't be read yields no row; everything else goes on.
+A file that can't be read yields no row, and everything else goes on; ``unreadable`` says which those are and why.
 """
 
 from __future__ import annotations
@@ -51,6 +51,29 @@ def _each(files: DataFrame, parse: Callable[[str, bytes], Iterable[dict]], schem
     return files.mapInPandas(run, schema)
 
 
+def parsed(spark: SparkSession, path: str, pattern: str, parse: Callable[[str, bytes], Iterable[dict]], schema: str) -> DataFrame:
+    """Rows that ``parse`` finds in the files of that pattern."""
+    return _each(_files(spark, path, pattern), parse, schema)
+
+
+def unreadable(spark: SparkSession, path: str, form: str) -> DataFrame:
+    """name and error of the files of a folder that the format's reader leaves out."""
+    pattern, parse = PARSERS[form]
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            bad = []
+            for name, content in zip(batch["name"], batch["content"]):
+                try:
+                    for _ in parse(name, content):
+                        pass
+                except Exception as error:  # whatever it is, it is what is asked for
+                    bad.append((name, f"{type(error).__name__}: {error}"))
+            yield pd.DataFrame(bad, columns=["name", "error"])
+
+    return _files(spark, path, pattern).mapInPandas(run, "name string, error string")
+
+
 # Books
 
 
@@ -248,3 +271,7 @@ def history(spark: SparkSession, path: str, form: str) -> DataFrame:
     clock = webkit_time if form == "chrome-history" else unix_time
     number = F.expr("row_number() over (order by at desc nulls last, url) - 1")
     return rows.select(F.format_string("url_%06d", number).alias("external_id"), "url", "title", "visits", clock(F.col("at")).alias("last_visit"))
+
+
+#: Which files a format has, and what reads one.
+PARSERS: dict[str, tuple[str, Callable[[str, bytes], Iterable[dict]]]] = {"epub": ("*.epub", book_rows), "mbox": ("*.mbox", mail_rows), "exif-dir": ("*.{jpg,jpeg,JPG,JPEG,tif,tiff,TIF,TIFF}", photo_rows), "pdf-dir": ("*.pdf", lambda name, content: [{"raw": simple_pdf_text(content)}])}

@@ -14,7 +14,7 @@ from almanac.sources.html import html_to_markdown
 GLOBS = {"markdown-dir": "*.md", "plaintext-dir": "*.txt", "html-dir": "*.{html,htm}"}
 
 
-def _document(external_id: Column, title: Column, text: Column, content_type: str, parent: Column | None = None, depth: int = 0, privacy: int = 0) -> list[Column]:
+def document_columns(external_id: Column, title: Column, text: Column, content_type: str, parent: Column | None = None, depth: int = 0, privacy: int = 0) -> list[Column]:
     parent = parent if parent is not None else F.lit(None).cast("string")
     return [external_id.alias("external_id"), title.alias("title"), text.alias("text"), F.lit(content_type).alias("content_type"), parent.alias("parent_id"), F.lit(depth).alias("depth"), F.lit(privacy).alias("privacy_level")]
 
@@ -27,7 +27,7 @@ def text_dir(spark: SparkSession, path: str, form: str = "markdown-dir", privacy
         files = files.withColumn("text", html_to_markdown("text"))
     files = files.where(F.btrim("text", F.lit(" \t\r\n")) != "")
     stem = F.regexp_replace("name", r"\.[^.]*$", "")
-    return files.select(*_document(stem, document_title(F.col("text"), F.col("name")), F.col("text"), "Article", privacy=privacy))
+    return files.select(*document_columns(stem, document_title(F.col("text"), F.col("name")), F.col("text"), "Article", privacy=privacy))
 
 
 def delimited(spark: SparkSession, path: str) -> DataFrame:
@@ -68,7 +68,7 @@ def chat_documents(spark: SparkSession, path: str, gap: str = "2 hours") -> Data
     line = chat_line(F.col("ts"), F.col("sender"), F.col("text"), F.col("reply_to"), F.col("edited"))
     texts = sessions.render(messages, ["chat", "segment"], "id", line)
     name = sessions.segment_name(F.col("segment"))
-    return texts.select(*_document(name, F.concat("chat", F.lit(" "), name), F.concat(F.lit("["), "chat", F.lit("]\n"), "text"), "Conversation", privacy=2))
+    return texts.select(*document_columns(name, F.concat("chat", F.lit(" "), name), F.concat(F.lit("["), "chat", F.lit("]\n"), "text"), "Conversation", privacy=2))
 
 
 def track_points(spark: SparkSession, path: str) -> DataFrame:
@@ -90,7 +90,7 @@ def track_documents(spark: SparkSession, path: str, gap: str = "2 hours", epsilo
         F.coalesce(F.concat(F.lit("\nFrom: "), F.col("first").cast("string"), F.lit("\nTo: "), F.col("last").cast("string")), F.lit("")),
     )
     name = F.format_string("%s_%04d", F.regexp_replace("track", r"\.gpx$", ""), F.col("segment").cast("int"))
-    return stats.select(*_document(name, name, said, "GpsSegment", privacy=2))
+    return stats.select(*document_columns(name, name, said, "GpsSegment", privacy=2))
 
 
 def mediawiki_documents(spark: SparkSession, path: str, min_chars: int = 200) -> DataFrame:
@@ -99,14 +99,14 @@ def mediawiki_documents(spark: SparkSession, path: str, min_chars: int = 200) ->
     body = pages.where("coalesce(ns, 0) = 0").select("title", F.col("revision.text").alias("raw"))
     body = body.where(F.col("raw").isNotNull() & ~F.lower("raw").startswith("#redirect")).withColumn("text", wikitext_to_markdown(F.col("raw")))
     body = body.where(F.char_length("text") >= min_chars)
-    return body.select(*_document(F.translate("title", " /\\:", "____"), F.col("title"), F.concat(F.lit("# "), "title", F.lit("\n\n"), "text"), "Article"))
+    return body.select(*document_columns(F.translate("title", " /\\:", "____"), F.col("title"), F.concat(F.lit("# "), "title", F.lit("\n\n"), "text"), "Article"))
 
 
 def json_lines(spark: SparkSession, path: str, text: str = "text", key: str = "id", title: str = "title") -> DataFrame:
     """Documents from objects, one a line; objects without a text are left out."""
     rows = spark.read.text(path).select(F.get_json_object("value", f"$.{key}").alias("key"), F.get_json_object("value", f"$.{title}").alias("name"), F.get_json_object("value", f"$.{text}").alias("body"))
     rows = rows.where("body is not null").withColumn("key", F.coalesce("key", F.sha2("body", 256)))
-    return rows.select(*_document(F.col("key"), F.coalesce("name", "key"), F.col("body"), "Article"))
+    return rows.select(*document_columns(F.col("key"), F.coalesce("name", "key"), F.col("body"), "Article"))
 
 
 _TRIPLE = r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"\S*)\s*\.\s*$'
@@ -177,4 +177,4 @@ def mail_threads(messages: DataFrame) -> DataFrame:
     texts = sessions.render(rooted.withColumn("_order", order), ["root"], "_order", line)
     first = rooted.groupBy("root").agg(F.min_by("subject", order).alias("subject"), F.min(order).alias("_first"))
     numbered = texts.join(first, "root").withColumn("_n", F.row_number().over(Window.orderBy("_first", "root")) - 1)
-    return numbered.select(*_document(F.format_string("thread_%04d", "_n"), F.col("subject"), F.concat(F.lit("# "), "subject", F.lit("\n\n"), "text"), "Conversation", privacy=2))
+    return numbered.select(*document_columns(F.format_string("thread_%04d", "_n"), F.col("subject"), F.concat(F.lit("# "), "subject", F.lit("\n\n"), "text"), "Conversation", privacy=2))

@@ -13,6 +13,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow.fs as pafs
+import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -124,8 +125,34 @@ class ZimSource(DataSource):
 
 
 def zim_documents(spark: SparkSession, path: str, pieces: int = 64) -> DataFrame:
-    """Articles as Markdown; pages without text are left out."""
-    spark.dataSource.register(ZimSource)
-    rows = spark.read.format("zim").option("path", path).option("pieces", str(pieces)).load()
+    """Articles as Markdown; pages without text are left out.
+
+    Each piece of the directory is read once, by one task, and its entries go to the tasks that have their clusters.
+    """
+    n = Archive(path).n_entries
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        archive = Archive(path)
+        for batch in batches:
+            found = (archive.entry(int(i)) for i in batch["id"])
+            rows = [x[1:] for x in found if x and x[0] in "CA" and "html" in x[3]]
+            yield pd.DataFrame(rows, columns=["path", "title", "mime", "cluster", "blob"])
+
+    def blobs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        archive, at, held = Archive(path), -1, []
+        for batch in batches:
+            out = []
+            for path_, title, _, cluster, blob in batch.itertuples(index=False):
+                if cluster != at:
+                    try:
+                        at, held = cluster, archive.cluster(int(cluster))
+                    except (ValueError, struct.error, lzma.LZMAError, zstandard.ZstdError):
+                        held = []
+                if blob < len(held):
+                    out.append((path_, title, held[blob].decode("utf-8", "replace")))
+            yield pd.DataFrame(out, columns=["path", "title", "html"])
+
+    listed = spark.range(0, n, 1, pieces).mapInPandas(entries, "path string, title string, mime string, cluster long, blob long")
+    rows = listed.repartition(pieces, "cluster").sortWithinPartitions("cluster").mapInPandas(blobs, "path string, title string, html string")
     texts = rows.select(F.translate("path", "/\\:", "___").alias("external_id"), "title", html_to_markdown("html").alias("text")).where("text <> ''")
     return texts.select("external_id", "title", "text", F.lit("Article").alias("content_type"), F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("depth"), F.lit(0).alias("privacy_level"))
