@@ -280,12 +280,18 @@ def keep_one(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
     Where rows of different texts share that doc_id, the smaller hash of the text decides; equal rows collapse.
     """
     prints = cut_lineage(fingerprints(docs, shingle))
-    return keep_first(docs, prints.join(classes(prints, max_bits).select("fp", "root"), "fp"))
+    return keep_first(docs, prints.withColumnRenamed("fp", "id"), classes(prints, max_bits).select(F.col("fp").alias("id"), "root"))
 
 
-def keep_first(docs: DataFrame, joined: DataFrame) -> DataFrame:
-    """The row of ``docs`` that each root of ``joined`` (doc_id, text_hash, root) keeps."""
-    best = joined.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("best"))
+def keep_first(docs: DataFrame, prints: DataFrame, roots: DataFrame) -> DataFrame:
+    """Of ``docs`` the first row of each root, by doc_id and then text_hash.
+
+    ``prints`` has doc_id, text_hash and id of each row, ``roots`` a row for each id with its root (or none, where the id
+    is its own). The rows of an id, which may be a third of all, become one before they are joined.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash"))
+    of_id = prints.groupBy("id").agg(first.alias("best")).join(roots, "id", "left")
+    best = of_id.groupBy(F.coalesce("root", "id").alias("root")).agg(F.min("best").alias("best"))
     chosen = best.select(_name("best.doc_id").alias("__almanac_name"), F.col("best.text_hash").alias("__almanac_hash"))
     keyed = docs.withColumns({"__almanac_name": _name("doc_id"), "__almanac_hash": F.xxhash64("text")})
     return keyed.join(chosen, ["__almanac_name", "__almanac_hash"], "left_semi").dropDuplicates(["__almanac_name", "__almanac_hash"]).drop("__almanac_name", "__almanac_hash")
