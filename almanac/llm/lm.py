@@ -80,7 +80,7 @@ class Streams:
             every[ends] = which
             self.distinct.append(found)
             self.which.append(every)
-            self.first.append(ends[first])
+            self.first.append(ends[first].astype(np.int32))
 
     def history(self, n: int) -> np.ndarray:
         """For each distinct n-gram which (n - 1)-gram it begins with."""
@@ -112,12 +112,12 @@ class Traversal:
         self.leads_to, self.fails_to, self.fail_weights = [], [np.zeros(1, np.int64)], [np.zeros(1)]
         for n in range(1, order + 1):
             own = self.begins[n] + np.arange(len(counts[n - 1])) if n < order else self.begins[n - 1] + streams.suffix(n) if n > 1 else np.zeros(len(counts[0]), np.int64)
-            self.leads_to.append(np.where(counts[n - 1] > 0, own, 0))  # an unseen word leads to the empty state
+            self.leads_to.append(np.where(counts[n - 1] > 0, own, 0).astype(np.int32))  # an unseen word leads to the empty state
             if n < order:
                 self.fails_to.append(self.begins[n - 1] + streams.suffix(n) if n > 1 else np.zeros(len(own), np.int64))
                 share = discounts[n - 1] * continued[n - 1] / np.maximum(counts[n - 1], 1)
                 self.fail_weights.append(np.log10(share, where=share > 0, out=np.zeros(len(share))))
-        self.fails_to, self.fail_weights = np.concatenate(self.fails_to), np.concatenate(self.fail_weights)
+        self.fails_to, self.fail_weights = np.concatenate(self.fails_to).astype(np.int32), np.concatenate(self.fail_weights)
 
     def read(self) -> np.ndarray:
         """The sum of weights passed at each place, from the state before it to the arc that reads it."""
@@ -172,19 +172,24 @@ def _opened(letters: pa.Table, owners: int) -> tuple[pa.Table, list[int], np.nda
     letters = letters.sort_by("shard")
     hashes = [np.cumsum(stretched(x, "<u8"), dtype=np.uint64) for x in letters["hashes"].to_pylist()]
     counts = np.concatenate([stretched(x, "<u4") for x in letters["counts"].to_pylist()])
-    # the bits that all of an owner's hashes share say nothing
-    which = numbered(np.concatenate(hashes) << np.uint64(max(0, owners.bit_length() - 1)))[1]
-    return letters, np.cumsum([len(h) for h in hashes]).tolist(), which, counts, np.bincount(which, counts).astype(np.uint64)
+    ends = np.cumsum([len(h) for h in hashes]).tolist()
+    every = np.concatenate(hashes)
+    del hashes
+    every <<= np.uint64(max(0, owners.bit_length() - 1))  # the bits that all of an owner's hashes share say nothing
+    which = numbered(every)[1]
+    del every
+    return letters, ends, which, counts, np.bincount(which, counts).astype(np.uint64)
 
 
-def score_texts(docs: DataFrame, held_out: Column, order: int = 3, shard_bytes: int = 12 << 20, owner_bytes: int = 64 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column, order: int = 3, shard_bytes: int = 8 << 20, owner_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; rows not held out train."""
     spark = docs.sparkSession
     size, pieces = text_bytes(docs), shuffle_partitions(spark)
     shards, owners = max(pieces, -(-size // shard_bytes)), max(1, pieces // order, -(-size // owner_bytes))
+    shard_tasks, owner_tasks = max(pieces, -(-shards // 4)), max(pieces, -(-owners * order // 4))
     bits = min(64, size.bit_length() + 20)
     rows = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    sharded = packs(rows, F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards))).repartition(pieces, "shard").groupBy("shard")
+    sharded = packs(rows, F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards))).repartition(shard_tasks, "shard").groupBy("shard")
 
     def opened(table: pa.Table) -> tuple[pa.Table, Streams]:
         rows = unpacked(table["pack"])
@@ -247,10 +252,10 @@ def score_texts(docs: DataFrame, held_out: Column, order: int = 3, shard_bytes:
         sums = [np.bincount(streams.doc[real], x, n_docs) for x in (counts[0][uni] > 0, model.weights[0][uni], model.read()[real])]
         return pa.table({"doc_id": rows["doc_id"], "held_out": rows["held_out"], "n_tokens": streams.lengths - 1, "n_known": sums[0].astype(np.int64), "train_tokens": np.full(len(rows), tokens), "base_score": sums[1], "score": sums[2]})
 
-    letters = sharded.applyInArrow(ask, _LETTER).repartition(pieces, "owner")
-    totals = letters.groupBy("owner").applyInArrow(add, _TOTALS).repartition(pieces, "shard")
-    histories = sharded.cogroup(totals.groupBy("shard")).applyInArrow(continue_, _HISTORIES)
-    replies = letters.groupBy("owner").cogroup(histories.groupBy("owner")).applyInArrow(answer, _REPLY)
+    letters = sharded.applyInArrow(ask, _LETTER).repartition(owner_tasks, "owner")
+    totals = letters.groupBy("owner").applyInArrow(add, _TOTALS).repartition(shard_tasks, "shard")
+    histories = sharded.cogroup(totals.groupBy("shard")).applyInArrow(continue_, _HISTORIES).repartition(owner_tasks, "owner")
+    replies = letters.groupBy("owner").cogroup(histories.groupBy("owner")).applyInArrow(answer, _REPLY).repartition(shard_tasks, "shard")
     each = lambda c: F.array(*[F.sum(F.get(c, F.lit(n))) for n in range(order)])
     all_ = totals.agg(F.sum("tokens").alias("all_tokens"), F.sum("types").alias("all_types"), each("once").alias("all_once"), each("twice").alias("all_twice"), (F.count("*") > 0).alias("_any"))
     trains = F.col("all_tokens") > 0  # "begin" was seen in training if anything was

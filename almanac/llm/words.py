@@ -40,7 +40,7 @@ def text_bytes(docs: DataFrame, text_col: str = "text") -> int:
 
 
 #: Rows are packed when so many bytes of them have been read.
-_PACK_BYTES = 1 << 26
+_PACK_BYTES = 1 << 25
 
 
 def packs(rows: DataFrame, shard: Column) -> DataFrame:
@@ -104,9 +104,12 @@ def numbered(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return hashes, np.zeros(0, np.int32), np.zeros(0, np.int64)
     low = np.uint64(max(1, (n - 1).bit_length()))
     mask = (np.uint64(1) << low) - np.uint64(1)
-    keys = np.sort(hashes & ~mask | np.arange(n, dtype=np.uint64))
-    at, top = (keys & mask).astype(np.int64), keys >> low
-    found = hashes[at]
+    keys = hashes & ~mask
+    keys |= np.arange(n, dtype=np.uint64)
+    keys.sort()
+    at = (keys & mask).astype(np.int64)
+    keys >>= low
+    top, found = keys, hashes[at]
     mixed = (top[1:] == top[:-1]) & (found[1:] != found[:-1])
     if mixed.any():
         some = np.flatnonzero(np.isin(top, top[1:][mixed]))
