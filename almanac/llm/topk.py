@@ -6,8 +6,9 @@ the bin that holds the kth value; after a few rounds the bin is one integer wide
 that much are kept, in each task at most the k best, ties to the smaller id, so the exact answer is a selection from
 k rows a task and query however many candidates tie.
 
-Queries are taken in blocks of ``block`` rows; a block is collected and sent to all tasks, so what is broadcast has a
-fixed bound, and each block is held against all candidates once a round. Scores are integers: components are scaled
+Queries are taken in blocks of ``block`` ids; a block is collected and sent to all tasks, so what is broadcast has a
+fixed bound where ids are names (an id that stands for many vectors makes its block larger), and each block is held
+against all candidates once a round. Scores are integers: components are scaled
 and floored. Products are exact in doubles where scale allows, else in 64-bit integers.
 
 Defined results: a vector that is null, or holds null or a component that is not finite, takes no part, neither as a
@@ -136,6 +137,7 @@ def _block(candidates: DataFrame, asked: pa.Table, k: int) -> DataFrame:
         wanted = spark.createDataFrame([(int(q), int(w)) for q, w in enumerate(want) if w > 0], "q long, want long")
         run = F.expr("sum(n) over (partition by q order by bin desc)")
         reached = summed.withColumn("run", run).join(F.broadcast(wanted), "q").where("run >= want").groupBy("q").agg(F.max("bin").alias("bin")).collect()
+        state.destroy()
         for r in reached:
             low[r.q] += r.bin * step[r.q]
             high[r.q] = min(high[r.q], low[r.q] + step[r.q])
