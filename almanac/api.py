@@ -43,6 +43,7 @@ READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "firefox-history": lambda s, p: _visited(s, p, "firefox-history"),
 }
 _CONTENT = "source_name string, external_id string, title string, text string, content_type string, parent_id string, depth int, privacy_level int, content_hash string, content_size long"
+_DELETED = "Deleted"
 #: What is derived of a source, by table; the full-text index has folders of its own.
 _DERIVED = {
     "chunks": "source_name string, chunk_id string, external_id string, title string, text string, privacy_level int",
@@ -91,9 +92,13 @@ class KnowledgeBase:
         except AnalysisException:
             return self.spark.createDataFrame([], schema)
 
-    def content(self) -> DataFrame:
+    def _stored(self) -> DataFrame:
         return self._read("content", _CONTENT)
 
+    def content(self) -> DataFrame:
+        """All documents but those that an update has only marked as deleted."""
+        return self._stored().where(F.col("content_type") != _DELETED)
+
     def _replace(self, source: str, rows: DataFrame) -> None:
         """Put a source's documents in place of those it had, and derive anew what is derived of them.
 
@@ -191,8 +196,11 @@ class KnowledgeBase:
     def update_source(self, name: str, path: str, form: str, privacy: int | None = None, deletions: str = "delete") -> dict[str, int]:
         """Replace by document; how many are new, changed, unchanged and deleted.
 
-        ``deletions``: "delete" what is gone, or "keep" it.
+        ``deletions``: "delete" what is gone, "keep" it, or "soft": it stays in the store, marked, until it is there
+        again or deleted, and no verb sees it.
         """
+        if deletions not in ("delete", "keep", "soft"):
+            raise ValueError(f"no such policy: {deletions}")
         seen = self._load(name, path, form, privacy)
         known = self.content().where(F.col("source_name") == name)
         if deletions == "keep":
@@ -200,6 +208,9 @@ class KnowledgeBase:
         diff = catalog.update_diff(known, seen).groupBy("status").count().collect()
         report = {s: 0 for s in ("new", "changed", "unchanged", "deleted")} | {r["status"]: r["count"] for r in diff}
         if report["new"] or report["changed"] or report["deleted"]:
+            if deletions == "soft":
+                stored = self._stored().where(F.col("source_name") == name)
+                seen = seen.unionByName(stored.join(seen, "external_id", "left_anti").withColumn("content_type", F.lit(_DELETED)).select(*seen.columns))
             self._replace(name, seen)
         return report
 
@@ -373,7 +384,7 @@ class KnowledgeBase:
         answers = cut_lineage(enrich.enrich(rows, step, self.model, "document_id", limit=limit).where("answer <> ''"))
         touched = rows.join(answers, "document_id", "left_semi").select("source_name").distinct()
         for name in sorted(r.source_name for r in touched.collect()):
-            own = self.content().where(F.col("source_name") == name).withColumn("document_id", F.concat_ws(":", "source_name", "external_id"))
+            own = self._stored().where(F.col("source_name") == name).withColumn("document_id", F.concat_ws(":", "source_name", "external_id"))
             if step in enrich.SECTIONS:
                 added = F.concat("text", F.lit(f"\n\n## {enrich.SECTIONS[step]}\n\n"), "answer")
                 joined = own.join(answers, "document_id", "left").withColumn("text", F.coalesce(added, "text"))

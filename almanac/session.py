@@ -36,12 +36,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """``df`` over all cores where it lies in fewer files than there are cores; as it is where files are many.
+    """``df`` over all cores where by Spark's own estimate it is read in fewer pieces than there are cores; else as it is.
 
     Small files hold one row group, which one task reads; work that is heavy for each row would be that task's alone.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if 0 < len(df.inputFiles()) < cores else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    piece = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(cores, key) if 0 < size < cores * piece else df
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -108,3 +108,17 @@ def test_odd_source_names(base, spark):
         assert {h.source_name for h in kb.search("lighthouse").collect()} == {name}
         kb.delete(name)
         assert kb.search("lighthouse").count() == 0
+
+
+def test_soft_deletion(base):
+    kb, raw, _ = base
+    text = (raw / "France.md").read_text()
+    (raw / "France.md").unlink()
+    assert kb.update_source("wiki", str(raw), "markdown-dir", deletions="soft")["deleted"] == 1
+    assert kb.search("country").count() == 0 and kb.content().where("source_name = 'wiki'").count() == 1 and kb._stored().where("source_name = 'wiki'").count() == 2
+    assert kb.update_source("wiki", str(raw), "markdown-dir", deletions="soft") == {"new": 0, "changed": 0, "unchanged": 1, "deleted": 0}
+    (raw / "France.md").write_text(text)
+    assert kb.update_source("wiki", str(raw), "markdown-dir", deletions="soft")["new"] == 1
+    assert kb.search("country").count() == 1 and kb._stored().where("source_name = 'wiki'").count() == 2
+    with pytest.raises(ValueError):
+        kb.update_source("wiki", str(raw), "markdown-dir", deletions="perhaps")
