@@ -42,7 +42,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     piece = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     return df.repartition(cores, key) if 0 < size < cores * piece else df
 
