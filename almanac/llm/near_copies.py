@@ -1,13 +1,23 @@
-"""Near copies by the Jaccard similarity of their sets of word shingles: candidates by MinHash, each verified exactly.
+"""Near copies by the Jaccard similarity of their sets of word shingles: candidates by SimHash, each verified exactly.
 
 A text's shingles are its runs of ``shingle`` words (A-Z lower-cased), 64 bits each. Texts of equal sets are one at
-once. Of a set 32 bands of 4 minima are taken; sets that share a band are candidates. A pair of similarity 0.8 shares
-none with probability (1 - 0.8^4)^32 = 5e-8, a closer pair with less. Links are pairs whose sets, compared whole, are
-at least ``similarity`` alike, so nothing is linked by estimate.
-
-For up to three rounds, as long as there are many pairs left, each set is compared with one other: a member of one of
-its bands that is the same for most of them. What that links needs no more comparison. Then all pairs that share a
-band and that no link connects so far are compared. No member or pair is capped.
+once. A set's fingerprint has 256 bytes: a bit is 1 if it is set in over half of the shingles' hashes. An inverted
+index lists sets by positional bytes, two adjacent positions intersected, so each set stands in 128 lists. Pairs that
+meet are tallied by the positional bytes they share; those that reach the minimum and differ in few enough bits are
+candidates. The bounds follow from ``similarity``: two sets so similar differ in a bit with probability
+p = acos(2s / (1 + s)) / pi, and the bounds are five standard deviations or more from what that makes expected.
+
+What may be lost: a pair of similarity 0.8 (p = 0.152) shares no list with probability (1 - (1 - p)^16)^128 = 7e-5, one
+of 0.85 with 2e-6, closer pairs with less; similarities below 0.8 lose more, 0.7 1.5 %. Majorities of few shingles are
+coarser, so sets of up to 40 are listed by their first shingles too: similar ones have one of those in common, and
+what meets there is compared without the bounds. Links are pairs whose sets, compared whole, are at least
+``similarity`` alike, so nothing is linked by estimate.
+
+The index is walked twice. At first with 16 bytes of each fingerprint, which tells the lists in which a set has a
+neighbour at all; then, for these, with whole fingerprints. For up to two rounds, as long as there are many pairs left,
+each set is compared with one other: one that is probably similar and the same for most of its neighbours, else the
+nearest. What that links needs no more comparison. Then all candidates that no link connects so far are compared. No
+list, member or pair is capped.
 
 Defined results: null, empty and blank texts have no shingle and are copies of each other. A text of fewer words than
 a shingle is one shingle. No rows in, no rows out.
@@ -15,6 +25,10 @@ a shingle is one shingle. No rows in, no rows out.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -22,16 +36,49 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from almanac.llm.simhash import components, keep_first
-from almanac.llm.words import byte_texts, hash_words, mix, ngram_hashes, slices
-from almanac.session import cut_lineage
-
-BANDS, ROWS = 32, 4
+from almanac.llm.words import byte_texts, hash_words, mix, ngram_hashes, slices, squeeze, stretched
+from almanac.session import cut_lineage, shuffle_partitions
+
+#: A fingerprint's 64-bit words, bytes, and lists, one for two bytes.
+WORDS = 32
+BYTES = 8 * WORDS
+LISTS = BYTES // 2
+#: So many words of a fingerprint go along when the index is walked for the first time.
+SKETCH = 2
+#: Sets of at most so many shingles are listed by their first shingles too. The keys of these lists have this bit.
+SMALL = 40
+_BY_SHINGLE = 1 << 62
 _RNG = np.random.default_rng(42)
-_FLIP = _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
-_TIMES = _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
-_STAR_ROUNDS = 3
+_FLIP = _RNG.integers(0, 1 << 64, WORDS, np.uint64)
+_TIMES = _RNG.integers(0, 1 << 64, WORDS, np.uint64) | np.uint64(1)
+_LANES = np.uint64(0x0101010101010101)
+_ROUNDS = 2
 #: So many pairs a member are compared without further rounds.
 _FEW_PAIRS = 4
+#: A part of the index has about so many bytes; so many hashes of texts go to all executors.
+_PART_BYTES, _BROADCAST = 1 << 25, 1 << 21
+
+
+class Bounds(NamedTuple):
+    """Most bits a sketch differs in, least positional bytes shared, most bits differing, and bits of the probably similar."""
+
+    sketch: int
+    shared: int
+    bits: int
+    probable: int
+
+    @classmethod
+    def of(cls, similarity: float) -> Bounds:
+        p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+        same = (1 - p) ** 8
+        spread = lambda n, p: math.sqrt(n * p * (1 - p))
+        sketch, whole = 64 * SKETCH, 64 * WORDS
+        return cls(
+            math.ceil(sketch * p + 5 * spread(sketch, p)),
+            max(2, math.floor(BYTES * same - 5 * spread(BYTES, same))),
+            math.ceil(whole * p + 6 * spread(whole, p)),
+            math.floor(whole * p - spread(whole, p)),
+        )
 
 
 def shingle_set(text: bytes | None, size: int) -> np.ndarray:
@@ -42,18 +89,25 @@ def shingle_set(text: bytes | None, size: int) -> np.ndarray:
     return hash_words([b" ".join(words)] if words else [])
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """A number for each band of a set; none for an empty one."""
+def fingerprint(hashes: np.ndarray) -> bytes:
+    """The bits set in over half of the hashes, each made ``WORDS`` long; nothing for an empty set."""
     if not len(hashes):
-        return np.zeros(0, np.uint64)
-    least = np.full(BANDS * ROWS, ~np.uint64(0))
-    for at in range(0, len(hashes), 256):
-        x = (hashes[at : at + 256, None] ^ _FLIP) * _TIMES
-        np.minimum(least, (x ^ (x >> np.uint64(32))).min(axis=0), out=least)
-    keys = np.arange(BANDS, dtype=np.uint64)
-    for row in least.reshape(BANDS, ROWS).T:
-        keys = mix(mix(keys) ^ row)
-    return keys
+        return b""
+    votes = np.zeros((8, WORDS, 8), np.int64)  # by bit of a byte, word, byte of the word
+    for at in range(0, len(hashes), 255):
+        x = (hashes[at : at + 255, None] ^ _FLIP) * _TIMES
+        x ^= x >> np.uint64(32)
+        for bit in range(8):
+            lanes = (x >> np.uint64(bit) & _LANES).sum(axis=0, dtype=np.uint64)
+            votes[bit] += lanes.astype("<u8").view(np.uint8).reshape(WORDS, 8)
+    return np.packbits((2 * votes > len(hashes)).transpose(1, 2, 0), bitorder="little").tobytes()
+
+
+def first_shingles(hashes: np.ndarray, similarity: float) -> np.ndarray:
+    """Keys of a small set's first shingles: as many as it can lack of a similar set's, and one more."""
+    n = len(hashes)
+    some = hashes[: n - math.ceil(similarity * n - 1e-9) + 1] if 0 < n <= SMALL else hashes[:0]
+    return some >> np.uint64(2) | np.uint64(_BY_SHINGLE)
 
 
 def _set_id(hashes: np.ndarray) -> int:
@@ -69,17 +123,22 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(np.concatenate([np.zeros(0, np.uint64), *arrays])))
 
 
-def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, text_hash, the set's number and size, and its bands, one row per row."""
+def signatures(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """doc_id, text_hash, the set's number and size, its fingerprint and the keys of its first shingles, one row per row."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
 
     def of(batches):
         for batch in slices(batches):
             sets = [shingle_set(t, shingle) for t in byte_texts(batch.column("text"))]
-            made = [_signed([_set_id(s) for s in sets]), pa.array(list(map(len, sets)), pa.int64()), _lists(list(map(band_keys, sets)))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *made], ["doc_id", "text_hash", "id", "n", "bands"])
+            made = [
+                _signed([_set_id(s) for s in sets]),
+                pa.array(list(map(len, sets)), pa.int64()),
+                pa.array(list(map(fingerprint, sets)), pa.binary()),
+                _lists([first_shingles(s, similarity) for s in sets]),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *made], ["doc_id", "text_hash", "id", "n", "print", "first"])
 
-    return rows.mapInArrow(of, f"doc_id {dict(rows.dtypes)['doc_id']}, text_hash long, id long, n long, bands array<long>")
+    return rows.mapInArrow(of, f"doc_id {dict(rows.dtypes)['doc_id']}, text_hash long, id long, n long, print binary, first array<long>")
 
 
 def shingle_sets(docs: DataFrame, text_hashes: DataFrame, shingle: int) -> DataFrame:
@@ -94,56 +153,182 @@ def shingle_sets(docs: DataFrame, text_hashes: DataFrame, shingle: int) -> DataF
     return rows.mapInArrow(of, "id long, hashes array<long>").dropDuplicates(["id"])
 
 
+def _matrix(prints: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(prints.to_pylist()), "<u8").reshape(len(prints), -1)
+
+
+def _meeting(key: np.ndarray, i: np.ndarray, step: int) -> np.ndarray:
+    """Those places ``i`` of keys in order which have the same key ``step`` places on."""
+    i = i[i + step < len(key)]
+    return i[key[i] == key[i + step]]
+
+
+def _bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+
+
+def with_neighbours(key: np.ndarray, sketch: np.ndarray, most: int) -> np.ndarray:
+    """Which members of the lists, keys in order, have another within ``most`` bits in their list."""
+    found = np.zeros(len(key), bool)
+    begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    number = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(key))))
+    i, step = np.arange(len(key)), 1
+    while len(i := _meeting(key, i, step)):
+        at = i[~(found[i] & found[i + step])]
+        at = at[(key[at] >= _BY_SHINGLE) | (_bits(sketch[at], sketch[at + step]) <= most)]
+        found[at] = found[at + step] = True
+        if step % 16 == 0:  # lists of which all have one are done
+            i = i[~np.logical_and.reduceat(found, begins)[number[i]]]
+        step += 1
+    return found
+
+
+def near_lists(nodes: DataFrame, most: int) -> DataFrame:
+    """key and id: the lists in which a set of ``nodes`` has a neighbour by the first words of their fingerprints."""
+    size = nodes.count() * LISTS * 28
+    n_parts = max(shuffle_partitions(nodes.sparkSession), -(-size // _PART_BYTES))
+
+    def deal(batches):
+        for batch in batches:
+            prints = _matrix(batch.column("print"))
+            first = batch.column("first")
+            n_first = np.diff(first.offsets.to_numpy())
+            key = (np.arange(LISTS, dtype=np.uint64) << np.uint64(16)) | prints.view("<u2").astype(np.uint64)
+            key = np.concatenate([key.ravel(), first.flatten().to_numpy().view(np.uint64)])
+            row = np.concatenate([np.repeat(np.arange(len(prints)), LISTS), np.repeat(np.arange(len(prints)), n_first)])
+            part = mix(key) % np.uint64(n_parts)
+            order = np.lexsort((key, part))
+            key, row, part = key[order], row[order], part[order]
+            ids, sketch = batch.column("id").to_numpy(), np.ascontiguousarray(prints[:, :SKETCH])
+            edges = np.flatnonzero(np.diff(part.astype(np.int64), prepend=-1))
+            for a, b in zip(edges, np.append(edges[1:], len(part))):
+                own, at = np.unique(row[a:b], return_inverse=True)
+                letter = [squeeze(key[a:b]), squeeze(at.astype(np.uint32)), ids[own].tobytes(), sketch[own].tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([int(part[a])], pa.int32()), *(pa.array([x], pa.binary()) for x in letter)], ["part", "keys", "at", "ids", "sketches"])
+
+    def walk(table: pa.Table) -> pa.Table:
+        keys, ids, sketches = [], [], []
+        for letter in table.to_pylist():
+            at = stretched(letter["at"], "<u4")
+            keys.append(stretched(letter["keys"], "<u8"))
+            ids.append(np.frombuffer(letter["ids"], "<i8")[at])
+            sketches.append(np.frombuffer(letter["sketches"], "<u8").reshape(-1, SKETCH)[at])
+        key = np.concatenate(keys)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        found = with_neighbours(key, np.concatenate(sketches)[order], most)
+        return pa.table({"key": key[found].view(np.int64), "id": np.concatenate(ids)[order][found]})
+
+    letters = nodes.select("id", "print", "first").mapInArrow(deal, "part int, keys binary, at binary, ids binary, sketches binary")
+    return letters.groupBy("part").applyInArrow(walk, "key long, id long")
+
+
+def candidate_places(key: np.ndarray, n: np.ndarray, root: np.ndarray, prints: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of the members of lists, keys in order, that are candidates, and the bits they differ in.
+
+    A pair that shares several lists by positional bytes is a candidate in the first of them.
+    """
+    bounds = Bounds.of(similarity)
+    octets, pairs = prints.view(np.uint8), prints.view("<u2")
+    i, step = np.arange(len(key)), 1
+    while len(i := _meeting(key, i, step)):
+        a = i[root[i] != root[i + step]]
+        a = a[np.minimum(n[a], n[a + step]) >= similarity * np.maximum(n[a], n[a + step]) - 1e-9]
+        by_shingle = key[a] >= _BY_SHINGLE
+        few = by_shingle | (_bits(prints[a, :SKETCH], prints[a + step, :SKETCH]) <= bounds.sketch)
+        a, by_shingle = a[few], by_shingle[few]
+        for at in range(0, len(a), 1 << 14):
+            x, free = a[at : at + (1 << 14)], by_shingle[at : at + (1 << 14)]
+            own = (pairs[x] == pairs[x + step]).argmax(axis=1) == key[x] >> 16
+            tally = (octets[x] == octets[x + step]).sum(axis=1)
+            differ = _bits(prints[x], prints[x + step])
+            good = free | own & (tally >= bounds.shared) & (differ <= bounds.bits)
+            yield x[good], x[good] + step, differ[good]
+        step += 1
+
+
+def _candidates(members: DataFrame, similarity: float, proposals: bool) -> DataFrame:
+    """id, rank and other: the candidates among ``members`` (key, id, n, root, print), or for each set one a part.
+
+    Proposals come with a row of null id, whose rank is how many candidates its part has.
+    """
+    probable = Bounds.of(similarity).probable
+    parted = members.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(4 * shuffle_partitions(members.sparkSession))))
+
+    def compare(table: pa.Table) -> pa.Table:
+        key = table["key"].to_numpy()
+        table = table.take(pa.array(order := np.argsort(key, kind="stable")))
+        columns = [table[c].to_numpy() for c in ("n", "root")]
+        ids, none = table["id"].to_numpy(), np.zeros(0, np.int64)
+        found = [(none, none, none), *candidate_places(key[order], *columns, _matrix(table["print"]), similarity)]
+        a, b, differ = map(np.concatenate, zip(*found))
+        a, b = ids[a], ids[b]
+        if not proposals:
+            return pa.table({"id": np.minimum(a, b), "rank": differ, "other": np.maximum(a, b)})
+        one, other, differ = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([differ, differ])
+        rank = np.where(differ <= probable, (mix(other.view(np.uint64)) >> np.uint64(2)).view(np.int64), (1 << 62) + differ)
+        order = np.lexsort((other, rank, one))
+        best = order[np.flatnonzero(np.diff(one[order], prepend=one[order[0]] - 1 if len(one) else 0))]
+        count = pa.table({"id": pa.array([None], pa.int64()), "rank": [len(a)], "other": pa.array([None], pa.int64())})
+        return pa.concat_tables([pa.table({"id": one[best], "rank": rank[best], "other": other[best]}), count])
+
+    return parted.groupBy("part").applyInArrow(compare, "id long, rank long, other long")
+
+
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose whole sets are at least so similar."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = sets.join(ends, "id", "left_semi")
     of = lambda side: sets.select(F.col("id").alias(side), F.col("hashes").alias(f"in_{side}"))
     both = pairs.join(of("b"), "b").join(of("a"), "a")
     shared = F.size(F.array_intersect("in_a", "in_b"))
     return both.where(shared / (F.size("in_a") + F.size("in_b") - shared) >= similarity).select("a", "b")
 
 
-def links(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) that connect all pairs of ``nodes`` (id, n, bands) which share a band and are similar."""
-    fits = lambda m, n: F.least(m, n) / F.greatest(m, n) >= similarity
-    found = None
-    for turn in range(_STAR_ROUNDS + 1):
-        left = nodes.withColumn("root", F.col("id"))
-        if found is not None:
+def links(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) that connect all candidates among ``nodes`` (id, n, text_hash, print, first) that are similar."""
+    near = cut_lineage(near_lists(nodes, Bounds.of(similarity).sketch))
+    nodes = cut_lineage(nodes.join(near.select("id").distinct(), "id", "left_semi").select("id", "n", "text_hash", "print"))
+    none = docs.sparkSession.createDataFrame([], "a long, b long")
+    found, tried, sets, few = none, none, None, False
+    for turn in range(_ROUNDS + 1):
+        left = near.withColumn("root", F.col("id"))
+        if turn:
             roots = components(found).select(F.col("node").alias("id"), F.col("root").alias("_root"))
-            left = nodes.join(roots, "id", "left").withColumn("root", F.coalesce("_root", "id"))
-        left = left.select(F.explode("bands").alias("band"), "id", "n", "root")
-        # only bands that still hold two components have pairs to compare
-        hub = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("order"), "id", "n", "root")).alias("hub")
-        bands = left.groupBy("band").agg(hub, F.count("*").alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        left = cut_lineage(left.join(bands.select("band", "hub"), "band"))
-        sized = left.groupBy("band", "root").agg(F.count("*").alias("c")).groupBy("band").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("squares"))
-        n_members, n_pairs = sized.agg(F.sum("c"), F.sum((F.col("c") * F.col("c") - F.col("squares")) / 2)).first()
-        if not n_members:
-            break
-        last = turn == _STAR_ROUNDS or n_pairs <= _FEW_PAIRS * n_members
-        if last:
-            one, other = (left.select("band", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "root"))) for side in "ab")
-            pairs = one.join(other, "band").where("id_a < id_b and root_a <> root_b").where(fits(F.col("n_a"), F.col("n_b"))).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+            left = near.join(roots, "id", "left").select("key", "id", F.coalesce("_root", "id").alias("root"))
+        # only lists that still hold two components have pairs to compare
+        open_keys = left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+        left = left.join(open_keys, "key", "left_semi").groupBy("id").agg(F.first("root").alias("root"), F.collect_list("key").alias("keys"))  # up to LISTS and a few
+        members = left.join(nodes, "id").select(F.explode("keys").alias("key"), "id", "n", "root", "print")
+        whole = few or turn == _ROUNDS
+        made = _candidates(members, similarity, not whole)
+        if whole:
+            pairs = made.select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
         else:
-            # one comparison for each set: with the first of its bands' hubs
-            chosen = left.where("root <> hub.root").where(fits(F.col("n"), F.col("hub.n"))).groupBy("id").agg(F.min("hub").alias("hub"))
-            pairs = chosen.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
-        new = _alike(pairs, sets, similarity)
-        found = cut_lineage(new if found is None else found.unionByName(new).distinct())
-        if last:
+            made = cut_lineage(made)
+            n_pairs = made.where("id is null").agg(F.sum("rank")).first()[0]
+            if not n_pairs:
+                break
+            chosen = made.where("id is not null").groupBy("id").agg(F.min(F.struct("rank", "other")).alias("best"))
+            pairs = chosen.select(F.least("id", "best.other").alias("a"), F.greatest("id", "best.other").alias("b")).distinct()
+            few = n_pairs <= _FEW_PAIRS * chosen.count()
+        pairs = cut_lineage(pairs.join(tried, ["a", "b"], "left_anti") if turn else pairs)
+        if sets is None:  # each set that has a candidate has proposed one
+            ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+            hashes = cut_lineage(nodes.join(ends, "id", "left_semi").select("text_hash").distinct())
+            sets = cut_lineage(shingle_sets(docs, F.broadcast(hashes) if hashes.count() <= _BROADCAST else hashes, shingle))
+        found = cut_lineage(found.unionByName(_alike(pairs, sets, similarity)))
+        tried = tried.unionByName(pairs)
+        if whole:
             break
-    return found if found is not None else sets.sparkSession.createDataFrame([], "a long, b long")
+    return found
 
 
 def _classes(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """doc_id, text_hash and id (its set) of every row; and id and root of the sets that have others like them."""
-    prints = cut_lineage(signatures(docs, shingle))
-    distinct = prints.groupBy("id").agg(F.min("n").alias("n"), F.min("text_hash").alias("text_hash"), F.first("bands").alias("bands"))
-    banded = distinct.select(F.explode("bands").alias("band"), "id", "n", "text_hash")
-    shared = banded.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band")
-    nodes = cut_lineage(banded.join(shared, "band").groupBy("id", "n", "text_hash").agg(F.collect_list("band").alias("bands")))  # up to BANDS
-    sets = cut_lineage(shingle_sets(docs, nodes.select("text_hash").distinct(), shingle))
-    roots = components(links(nodes.drop("text_hash"), sets, similarity)).withColumnRenamed("node", "id")
+    prints = cut_lineage(signatures(docs, shingle, similarity))
+    distinct = prints.where("n > 0").groupBy("id").agg(*(F.min(c).alias(c) for c in ("n", "text_hash", "print")), F.first("first").alias("first"))
+    roots = components(links(docs, cut_lineage(distinct), shingle, similarity)).withColumnRenamed("node", "id")
     return prints.select("doc_id", "text_hash", "id"), roots
 
 
