@@ -16,8 +16,8 @@ what meets there is compared without the bounds. Links are pairs whose sets, com
 The index is walked twice. At first with 16 bytes of each fingerprint, which tells the lists in which a set has a
 neighbour at all; then, for these, with whole fingerprints. For up to two rounds, as long as there are many pairs left,
 each set is compared with one other: one that is probably similar and the same for most of its neighbours, else the
-nearest. What that links needs no more comparison. Then all candidates that no link connects so far are compared. No
-list, member or pair is capped.
+nearest. What that links needs no more comparison. Then all candidates that no link connects so far are compared, which in a
+large group just short of ``similarity`` are as many as its pairs. No list, member or pair is capped.
 
 Defined results: null, empty and blank texts have no shingle and are copies of each other. A text of fewer words than
 a shingle is one shingle. No rows in, no rows out.
