@@ -16,8 +16,10 @@ what meets there is compared without the bounds. Links are pairs whose sets, com
 The index is walked twice. At first with 16 bytes of each fingerprint, which tells the lists in which a set has a
 neighbour at all; then, for these, with whole fingerprints. For up to two rounds, as long as there are many pairs left,
 each set is compared with one other: one that is probably similar and the same for most of its neighbours, else the
-nearest. What that links needs no more comparison. Then all candidates that no link connects so far are compared, which in a
-large group just short of ``similarity`` are as many as its pairs. No list, member or pair is capped.
+nearest. What that links needs no more comparison. Then all candidates that no link connects so far are compared, which in
+a large group just short of ``similarity`` are as many as its pairs. They are dealt, packed, over the cells of a board by
+both sets; a set goes once to each cell that has a pair of it, at most twice the side of the board, and out of a cell
+come fewer links than it has sets. No list, member or pair is capped.
 
 Defined results: null, empty and blank texts have no shingle and are copies of each other. A text of fewer words than
 a shingle is one shingle. No rows in, no rows out.
@@ -57,6 +59,10 @@ _ROUNDS = 2
 _FEW_PAIRS = 4
 #: A part of the index has about so many bytes; so many hashes of texts go to all executors.
 _PART_BYTES, _BROADCAST = 1 << 25, 1 << 21
+#: A part of the lists whose members are compared has fingerprints of about so many bytes, a cell about so many pairs.
+_LISTS_BYTES, _CELL_PAIRS = 1 << 23, 1 << 14
+#: So many links are connected by the driver, more by rounds over all executors.
+_COLLECTED = 1 << 19
 
 
 class Bounds(NamedTuple):
@@ -247,24 +253,51 @@ def candidate_places(key: np.ndarray, n: np.ndarray, root: np.ndarray, prints: n
         step += 1
 
 
-def _candidates(members: DataFrame, similarity: float, proposals: bool) -> DataFrame:
-    """id, rank and other: the candidates among ``members`` (key, id, n, root, print), or for each set one a part.
+def _open_lists(near: DataFrame) -> DataFrame:
+    """part, id, root and keys: each set (key, id, root, part) once a part, with its lists that hold two roots or more."""
 
-    Proposals come with a row of null id, whose rank is how many candidates its part has.
+    def opened(table: pa.Table) -> pa.Table:
+        key, ids, root = (table[c].to_numpy() for c in ("key", "id", "root"))
+        begins = np.flatnonzero(np.diff(key[order := np.argsort(key, kind="stable")], prepend=key[order[0]] - 1))
+        several = np.minimum.reduceat(root[order], begins) != np.maximum.reduceat(root[order], begins)
+        at = order[np.repeat(several, np.diff(np.append(begins, len(key))))]
+        at = at[np.argsort(ids[at], kind="stable")]
+        firsts = np.flatnonzero(np.concatenate([[True], ids[at[1:]] != ids[at[:-1]]])) if len(at) else at
+        keys = pa.ListArray.from_arrays(pa.array(np.append(firsts, len(at)), pa.int32()), pa.array(key[at]))
+        part = pa.array(np.full(len(firsts), table["part"][0].as_py()), pa.int32())
+        return pa.table({"part": part, "id": ids[at[firsts]], "root": root[at[firsts]], "keys": keys})
+
+    return near.groupBy("part").applyInArrow(opened, "part int, id long, root long, keys array<long>")
+
+
+def _candidates(members: DataFrame, similarity: float, squares: int = 0) -> DataFrame:
+    """id, rank and other: for each of ``members`` (part, id, n, root, print, keys) one candidate a part.
+
+    They come with a row of null id, whose rank is how many candidates its part has. With ``squares``, all candidates
+    instead, as cell, a and b: packed by the cell of a board of so many squares a side, dealt by a and b.
     """
     probable = Bounds.of(similarity).probable
-    parted = members.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(4 * shuffle_partitions(members.sparkSession))))
 
     def compare(table: pa.Table) -> pa.Table:
-        key = table["key"].to_numpy()
-        table = table.take(pa.array(order := np.argsort(key, kind="stable")))
-        columns = [table[c].to_numpy() for c in ("n", "root")]
-        ids, none = table["id"].to_numpy(), np.zeros(0, np.int64)
-        found = [(none, none, none), *candidate_places(key[order], *columns, _matrix(table["print"]), similarity)]
+        keys = table["keys"].combine_chunks()
+        key = keys.flatten().to_numpy()
+        row = np.repeat(np.arange(len(keys)), np.diff(keys.offsets.to_numpy()))
+        order = np.argsort(key, kind="stable")
+        row = row[order]
+        columns = [table[c].to_numpy()[row] for c in ("n", "root")]
+        ids, none = table["id"].to_numpy()[row], np.zeros(0, np.int64)
+        found = [(none, none, none), *candidate_places(key[order], *columns, _matrix(table["print"])[row], similarity)]
         a, b, differ = map(np.concatenate, zip(*found))
         a, b = ids[a], ids[b]
-        if not proposals:
-            return pa.table({"id": np.minimum(a, b), "rank": differ, "other": np.maximum(a, b)})
+        if squares:
+            a, b = np.minimum(a, b), np.maximum(a, b)
+            side = lambda x: (mix(x.view(np.uint64)) >> np.uint64(1)).astype(np.int64) % squares
+            cell = side(a) * squares + side(b)
+            order = np.argsort(cell, kind="stable")
+            a, b, cell = a[order], b[order], cell[order]
+            edges = np.flatnonzero(np.diff(cell, prepend=-1))
+            packed = [pa.array([x[i:j].tobytes() for i, j in zip(edges, np.append(edges[1:], len(x)))], pa.binary()) for x in (a, b)]
+            return pa.table({"cell": pa.array(cell[edges], pa.int32()), "a": packed[0], "b": packed[1]})
         one, other, differ = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([differ, differ])
         rank = np.where(differ <= probable, (mix(other.view(np.uint64)) >> np.uint64(2)).view(np.int64), (1 << 62) + differ)
         order = np.lexsort((other, rank, one))
@@ -272,7 +305,87 @@ def _candidates(members: DataFrame, similarity: float, proposals: bool) -> DataF
         count = pa.table({"id": pa.array([None], pa.int64()), "rank": [len(a)], "other": pa.array([None], pa.int64())})
         return pa.concat_tables([pa.table({"id": one[best], "rank": rank[best], "other": other[best]}), count])
 
-    return parted.groupBy("part").applyInArrow(compare, "id long, rank long, other long")
+    return members.groupBy("part").applyInArrow(compare, "cell int, a binary, b binary" if squares else "id long, rank long, other long")
+
+
+def _unpacked(letters: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of some rows of packed ones, by their first set."""
+    a, b = (np.frombuffer(b"".join(letters[c].to_pylist()), "<i8") for c in "ab")
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
+    return a[new], b[new]
+
+
+def shared_hashes(flat: np.ndarray, offsets: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many hashes the sets at places a and b have in common; ``a`` is in order, no set is empty."""
+    numbers = np.unique(flat, return_inverse=True)[1]
+    marked, shared = np.zeros(len(flat), bool), np.zeros(len(a), np.int64)
+    edges = np.flatnonzero(np.diff(a, prepend=-1))
+    for begin, end in zip(edges, np.append(edges[1:], len(a))):
+        own = numbers[offsets[a[begin]] : offsets[a[begin] + 1]]
+        marked[own] = True
+        for at in range(begin, end, 1 << 12):
+            others = b[at : min(end, at + (1 << 12))]
+            sizes = offsets[others + 1] - offsets[others]
+            ends = np.cumsum(sizes)
+            place = np.repeat(offsets[others] - ends + sizes, sizes) + np.arange(ends[-1])
+            shared[at : at + len(others)] = np.add.reduceat(marked[numbers[place]], ends - sizes, dtype=np.int64)
+        marked[own] = False
+    return shared
+
+
+def _links_of_cells(letters: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that connect what the packed pairs whose whole sets are at least so similar connect.
+
+    A set goes once to each cell that has a pair of it, and pairs stay packed, so no row is made for a pair.
+    """
+
+    def wanted(table: pa.Table) -> pa.Table:
+        ids = np.unique(np.concatenate(_unpacked(table)))
+        return pa.table({"cell": pa.array(np.full(len(ids), table["cell"][0].as_py()), pa.int32()), "id": ids})
+
+    def compare(pairs: pa.Table, given: pa.Table) -> pa.Table:
+        given = given.sort_by("id").combine_chunks()
+        ids, hashes = given["id"].to_numpy(), given["hashes"].combine_chunks()
+        offsets = np.concatenate([[0], np.cumsum(hashes.value_lengths().to_numpy())]).astype(np.int64)
+        a, b = (np.searchsorted(ids, x) for x in _unpacked(pairs))
+        shared = shared_hashes(hashes.flatten().to_numpy(), offsets, a, b)
+        n = np.diff(offsets)
+        similar = shared / (n[a] + n[b] - shared) >= similarity
+        a, b = a[similar], b[similar]
+        to = least_of_components(len(ids), a, b)
+        linked = np.flatnonzero(to != np.arange(len(ids)))
+        return pa.table({"a": ids[to[linked]], "b": ids[linked]})
+
+    letters = cut_lineage(letters)
+    given = letters.groupBy("cell").applyInArrow(wanted, "cell int, id long").join(sets, "id").select("cell", "id", "hashes")
+    return letters.groupBy("cell").cogroup(given.groupBy("cell")).applyInArrow(compare, "a long, b long")
+
+
+def least_of_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes the least of its component by the links (a, b)."""
+    to = np.arange(n)
+    while len(a):
+        # the larger root of a link points to the least it meets; then what points follows to the end
+        np.minimum.at(to, np.maximum(a, b), np.minimum(a, b))
+        while (to[to] != to).any():
+            to = to[to]
+        a, b = to[a], to[b]
+        a, b = a[a != b], b[a != b]
+    return to
+
+
+def _roots(found: DataFrame) -> DataFrame:
+    """id and root of what the links (a, b) connect to a smaller one. Up to some number of links the driver finds them."""
+    if found.count() > _COLLECTED:
+        return components(found).select(F.col("node").alias("id"), "root")
+    table = found.select("a", "b").toArrow()
+    ends = [table[c].to_numpy() for c in "ab"]
+    ids, at = np.unique(np.concatenate(ends), return_inverse=True)
+    to = least_of_components(len(ids), at[: len(ends[0])], at[len(ends[0]) :])
+    below = to != np.arange(len(ids))
+    return found.sparkSession.createDataFrame(pa.table({"id": pa.array(ids[below], pa.int64()), "root": pa.array(ids[to[below]], pa.int64())}))
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -287,31 +400,31 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 def links(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Links (a, b) that connect all candidates among ``nodes`` (id, n, text_hash, print, first) that are similar."""
+    spark = docs.sparkSession
     near = cut_lineage(near_lists(nodes, Bounds.of(similarity).sketch))
     nodes = cut_lineage(nodes.join(near.select("id").distinct(), "id", "left_semi").select("id", "n", "text_hash", "print"))
-    none = docs.sparkSession.createDataFrame([], "a long, b long")
-    found, tried, sets, few = none, none, None, False
+    n_parts = max(2 * spark.sparkContext.defaultParallelism, -(-near.count() * BYTES // _LISTS_BYTES))
+    near = near.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(n_parts)).cast("int"))
+    found = tried = spark.createDataFrame([], "a long, b long")
+    sets, few, n_pairs = None, False, 0
     for turn in range(_ROUNDS + 1):
         left = near.withColumn("root", F.col("id"))
         if turn:
-            roots = components(found).select(F.col("node").alias("id"), F.col("root").alias("_root"))
-            left = near.join(roots, "id", "left").select("key", "id", F.coalesce("_root", "id").alias("root"))
+            roots = _roots(found).withColumnRenamed("root", "_root")
+            roots = F.broadcast(roots) if found.count() <= _COLLECTED else roots
+            left = near.join(roots, "id", "left").withColumn("root", F.coalesce("_root", "id")).drop("_root")
         # only lists that still hold two components have pairs to compare
-        open_keys = left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        left = left.join(open_keys, "key", "left_semi").groupBy("id").agg(F.first("root").alias("root"), F.collect_list("key").alias("keys"))  # up to LISTS and a few
-        members = left.join(nodes, "id").select(F.explode("keys").alias("key"), "id", "n", "root", "print")
-        whole = few or turn == _ROUNDS
-        made = _candidates(members, similarity, not whole)
-        if whole:
-            pairs = made.select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
-        else:
-            made = cut_lineage(made)
-            n_pairs = made.where("id is null").agg(F.sum("rank")).first()[0]
-            if not n_pairs:
-                break
-            chosen = made.where("id is not null").groupBy("id").agg(F.min(F.struct("rank", "other")).alias("best"))
-            pairs = chosen.select(F.least("id", "best.other").alias("a"), F.greatest("id", "best.other").alias("b")).distinct()
-            few = n_pairs <= _FEW_PAIRS * chosen.count()
+        members = _open_lists(left).join(nodes.drop("text_hash"), "id")
+        if few or turn == _ROUNDS:
+            squares = math.ceil(math.sqrt(max(2 * spark.sparkContext.defaultParallelism, n_pairs // _CELL_PAIRS)))
+            return cut_lineage(found.unionByName(_links_of_cells(_candidates(members, similarity, squares), sets, similarity)))
+        made = cut_lineage(_candidates(members, similarity))
+        n_pairs = made.where("id is null").agg(F.sum("rank")).first()[0]
+        if not n_pairs:
+            break
+        chosen = made.where("id is not null").groupBy("id").agg(F.min(F.struct("rank", "other")).alias("best"))
+        few = n_pairs <= _FEW_PAIRS * chosen.count()
+        pairs = chosen.select(F.least("id", "best.other").alias("a"), F.greatest("id", "best.other").alias("b")).distinct()
         pairs = cut_lineage(pairs.join(tried, ["a", "b"], "left_anti") if turn else pairs)
         if sets is None:  # each set that has a candidate has proposed one
             ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -319,8 +432,6 @@ def links(docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) ->
             sets = cut_lineage(shingle_sets(docs, F.broadcast(hashes) if hashes.count() <= _BROADCAST else hashes, shingle))
         found = cut_lineage(found.unionByName(_alike(pairs, sets, similarity)))
         tried = tried.unionByName(pairs)
-        if whole:
-            break
     return found
 
 
@@ -328,7 +439,7 @@ def _classes(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFram
     """doc_id, text_hash and id (its set) of every row; and id and root of the sets that have others like them."""
     prints = cut_lineage(signatures(docs, shingle, similarity))
     distinct = prints.where("n > 0").groupBy("id").agg(*(F.min(c).alias(c) for c in ("n", "text_hash", "print")), F.first("first").alias("first"))
-    roots = components(links(docs, cut_lineage(distinct), shingle, similarity)).withColumnRenamed("node", "id")
+    roots = _roots(links(docs, cut_lineage(distinct), shingle, similarity))
     return prints.select("doc_id", "text_hash", "id"), roots
 
 

@@ -58,3 +58,47 @@ def test_compared_pairs_do_not_follow_the_square_of_a_group(spark, monkeypatch):
     rows = [(i, " ".join(words[:i] + [f"x{i}"] + words[i:])) for i in range(200)]
     assert [r.doc_id for r in near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
     assert sum(compared) <= 2 * len(rows)
+
+
+def test_a_group_just_short_of_similar_makes_no_row_of_a_pair(spark, monkeypatch):
+    compared, packed, alike, of_cells = [], [], near_copies._alike, near_copies._links_of_cells
+
+    def counted(pairs, sets, similarity):
+        compared.append(pairs.count())
+        return alike(pairs, sets, similarity)
+
+    def counted_cells(letters, sets, similarity):
+        rows = letters.collect()
+        packed.append((len(rows), sum(len(r.a) // 8 for r in rows)))
+        return of_cells(letters, sets, similarity)
+
+    monkeypatch.setattr(near_copies, "_alike", counted)
+    monkeypatch.setattr(near_copies, "_links_of_cells", counted_cells)
+    words = " ".join(f"w{i}" for i in range(100))
+    text = lambda i, n: " ".join([words, *(f"x{i}y{j}" for j in range(n))])
+    # 96 of 126 shingles for any two, but 96 of 119 with the last two
+    apart = [(i, text(i, 15)) for i in range(150)]
+    assert near_copies.keep_one(spark.createDataFrame(apart, "doc_id long, text string")).count() == 150
+    ((letters, pairs),) = packed
+    assert sum(compared) + letters <= 2 * len(apart) and pairs > 10000
+    near = [*apart, (150, text(150, 8)), (151, text(151, 8))]
+    assert [r.doc_id for r in near_copies.keep_one(spark.createDataFrame(near, "doc_id long, text string")).collect()] == [0]
+
+
+def test_shared_hashes_equal_intersections():
+    rng = np.random.default_rng(7)
+    sets = [np.sort(rng.choice(80, size, replace=False)).astype(np.int64) - 40 << 56 for size in rng.integers(1, 60, 40)]
+    a, b = np.triu_indices(len(sets), 1)
+    shared = near_copies.shared_hashes(np.concatenate(sets), np.cumsum([0, *map(len, sets)]), a, b)
+    assert shared.tolist() == [len(np.intersect1d(sets[i], sets[j])) for i, j in zip(a, b)]
+
+
+def test_roots_by_the_driver_equal_those_by_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    edges = [(int(a), int(b)) for a, b in rng.integers(-150, 150, (120, 2)) if a != b] + [(1000 + i, 1001 + i) for i in range(50)]
+    links = spark.createDataFrame(edges, "a long, b long")
+    rows = lambda: sorted(map(tuple, near_copies._roots(links).collect()))
+    here = rows()
+    monkeypatch.setattr(near_copies, "_COLLECTED", 0)
+    assert here == rows() and len({r for _, r in here}) < len(here)
+    assert near_copies._roots(links.limit(0)).count() == 0
